@@ -59,12 +59,12 @@ class Sorted:
 
     def at(self, targets: DataFrame, rank: str, keep: list[str], value: list[str], most: int = BROADCAST_ROWS) -> DataFrame:
         """The rows at given ranks. ``targets`` has the keys, the column ``rank`` and the columns ``keep``; gives keep and value."""
-        named = targets.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(self.keys)], F.col(rank).alias("_want"), *keep)
+        named = targets.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(self.keys)], F.col(rank).alias("_want"), F.struct(*keep).alias("_keep"))
         on = (F.col("_want") >= F.col("_before")) & (F.col("_want") < F.col("_before") + F.col("_n"))
         for i, k in enumerate(self.keys):
             on = on & F.col(k).eqNullSafe(F.col(f"_k{i}"))
         wanted = materialize(
-            self.pieces.join(named, on).select(place_of(F.col("_part"), F.col("_first") + F.col("_want") - F.col("_before")).alias(PLACE), *keep),
+            self.pieces.join(named, on).select(place_of(F.col("_part"), F.col("_first") + F.col("_want") - F.col("_before")).alias(PLACE), "_keep"),
             "wanted",
         )
-        return self.rows.select(PLACE, *value).join(broadcast_bounded(wanted, most), PLACE).drop(PLACE)
+        return self.rows.select(PLACE, *value).join(broadcast_bounded(wanted, most), PLACE).select(*value, "_keep.*")
