@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-from grovewise.queries import problems
+from grovewise.queries import expressions, files, problems, relations
 
-
-def _modules():
-    return (problems,)
+MODULES = (expressions, relations, files, problems)
 
 
 def queries() -> dict:
-    return {name: f for m in _modules() for name, f in m.QUERIES.items()}
+    return {name: f for m in MODULES for name, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict:
-    return {name: sql for m in _modules() for name, sql in m.SQL.items()}
+    return {name: sql for m in MODULES for name, sql in m.SQL.items()}

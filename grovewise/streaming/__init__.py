@@ -1,0 +1 @@
+"""Extensions beyond the batch operators: edit logs and arriving points as streams."""
