@@ -22,7 +22,8 @@ def _trim(c: Column) -> Column:
 
 def fields_of(line: Column) -> Column:
     """The fields of a line whose quoting holds, quotes removed, doubled quotes single, trimmed."""
-    parts = F.regexp_extract_all(line, F.lit(rf"(?:^|,)({_FIELD})"), 1)
+    # With a comma before the first field too, every match takes a character, so that an empty first field isn't passed over.
+    parts = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(rf",({_FIELD})"), 1)
     plain = lambda f: F.when(f.startswith('"'), F.replace(F.substr(f, F.lit(2), F.length(f) - 2), F.lit('""'), F.lit('"'))).otherwise(f)
     return F.transform(parts, lambda f: _trim(plain(f)))
 

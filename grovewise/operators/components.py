@@ -16,6 +16,8 @@ AXES = ("x", "y", "z")
 # Gaps offered, in spacings; and cells for each gap along an axis where points are taken together.
 GAPS = (1.0, 1.5, 2.0, 3.0, 4.0, 6.0, 8.0, 12.0, 16.0)
 CELLS_PER_GAP = 3
+#: Points are taken together only if that leaves at most this share of them.
+WORTHWHILE = 0.9
 
 
 #: Links that a task holds at once before it reduces them to a forest.
@@ -96,6 +98,8 @@ def components_of(points: DataFrame, eps: float, keys: Sequence[str] = ("tree_id
     celled = materialize(given.select(*keys, ident, *AXES, *cell), "celled")
     first = celled.groupBy(*names).agg(F.min(F.struct(ident, *AXES)).alias("f"))
     first = materialize(first.select(*names, F.col(f"f.{ident}").alias("_rep"), *[F.col(f"f.{a}").alias(a) for a in AXES]), "first")
+    if not exact and eps > 0 and first.count() > WORTHWHILE * celled.count():
+        return components_of(points, eps, keys, True, ident)  # nearly every cell holds one point: taking them together saves nothing
     links = pairs_within(first.select(*keys, F.col("_rep").alias("point_id"), *AXES), eps, keys)
     found = label_components(links)
     named = first.join(found, F.col("_rep") == F.col("id"), "left").select(*names, F.coalesce("component", "_rep").alias("component"))

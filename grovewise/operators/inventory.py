@@ -88,7 +88,7 @@ def scored(pairs: DataFrame, t: Tolerances = Tolerances()) -> DataFrame:
     b = F.when(good, F.col("dbh") - F.col("stem_dbh"))
     out = pairs.withColumn("distance", d).withColumn("height_diff", h).withColumn("dbh_diff", b)
     terms = F.array_compact(F.array((F.col("distance") / t.position) ** 2, (F.col("height_diff") / t.height) ** 2, (F.col("dbh_diff") / t.dbh) ** 2))
-    score = F.sqrt(F.aggregate(terms, F.lit(0.0), lambda s, x: s + x) / F.size(terms))
+    score = F.sqrt(F.try_divide(F.aggregate(terms, F.lit(0.0), lambda s, x: s + x), F.size(terms)))
     used = F.array_compact(F.array(F.lit("position"), F.when(F.col("height_diff").isNotNull(), "height"), F.when(F.col("dbh_diff").isNotNull(), "dbh")))
     return out.withColumn("score", score).withColumn("used", used)
 
@@ -126,9 +126,10 @@ def greedy_matches(pairs: DataFrame, t: Tolerances = Tolerances()) -> DataFrame:
 
 
 def linked_matches(links: DataFrame, trees: DataFrame, stems: DataFrame, t: Tolerances = Tolerances()) -> DataFrame:
-    """Scored pairs for links made by hand (cloud, tree_id, stem_id), whatever the distance; links to what doesn't exist are left out."""
-    s = stems.select("cloud", "stem_id", "ordinal", F.col("x").alias("sx"), F.col("y").alias("sy"), F.col("height").alias("stem_height"), F.col("dbh").alias("stem_dbh"), "species")
-    return scored(links.select("cloud", "tree_id", "stem_id").distinct().join(trees, ["cloud", "tree_id"]).join(s, ["cloud", "stem_id"]), t)
+    """Scored pairs for links made by hand (cloud, tree_id, stem_id), whatever the distance; links to what doesn't exist or has no position are left out."""
+    placed = "x is not null and y is not null"
+    s = stems.filter(placed).select("cloud", "stem_id", "ordinal", F.col("x").alias("sx"), F.col("y").alias("sy"), F.col("height").alias("stem_height"), F.col("dbh").alias("stem_dbh"), "species")
+    return scored(links.select("cloud", "tree_id", "stem_id").distinct().join(trees.filter(placed), ["cloud", "tree_id"]).join(s, ["cloud", "stem_id"]), t)
 
 
 def all_matches(trees: DataFrame, stems: DataFrame, links: DataFrame, t: Tolerances = Tolerances()) -> DataFrame:

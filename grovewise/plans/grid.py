@@ -1,31 +1,35 @@
-"""Cells of equal edge, so that a distance condition becomes an equality that can be hashed."""
+"""Cells of equal edge, so that a distance condition becomes an equality that can be hashed.
+
+Cells are three times as wide as the distance asked for. One side's rows lie in their own cell only, the other side's are copied into all cells that their reach touches (on average
+2.8 in the plane, 4.6 in space), so every pair within reach meets exactly once, in the first side's cell. A row is compared with as many others as with the usual 9 or 27 narrow cells around it, for a fraction of
+the copies.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+WIDTH = 3.0
+#: Copies reach a little farther, so that rounding at a cell's edge loses no pair.
+_SLACK = 1 + 1e-6
+
 
 def cell_names(n: int) -> list[str]:
     return [f"_c{k}" for k in range(n)]
 
 
-def cells(axes: Sequence[str], size: float) -> list[Column]:
-    return [F.floor(F.col(a).cast("double") / size) for a in axes]
-
-
-def with_cells(df: DataFrame, axes: Sequence[str], size: float) -> DataFrame:
+def with_cells(df: DataFrame, axes: Sequence[str], reach: float) -> DataFrame:
     """Each row in its own cell."""
-    return df.select("*", *[c.alias(n) for n, c in zip(cell_names(len(axes)), cells(axes, size))])
+    return df.select("*", *[F.floor(F.col(a).cast("double") / (WIDTH * reach)).alias(n) for n, a in zip(cell_names(len(axes)), axes)])
 
 
-def with_cells_around(df: DataFrame, axes: Sequence[str], size: float) -> DataFrame:
-    """Each row in its own cell and in all that touch it (9 in the plane, 27 in space)."""
-    steps = [()]
-    for _ in axes:
-        steps = [(*s, d) for s in steps for d in (-1, 0, 1)]
-    around = F.array(*[F.struct(*[F.lit(d).alias(f"d{k}") for k, d in enumerate(s)]) for s in steps])
-    out = df.select("*", F.explode(around).alias("_off"))
-    return out.select(*df.columns, *[(c + F.col(f"_off.d{k}")).alias(n) for k, (n, c) in enumerate(zip(cell_names(len(axes)), cells(axes, size)))])
+def with_cells_around(df: DataFrame, axes: Sequence[str], reach: float) -> DataFrame:
+    """Each row in all cells that hold places at most ``reach`` away along each axis."""
+    out, size, wide = df, WIDTH * reach, reach * _SLACK
+    for n, a in zip(cell_names(len(axes)), axes):
+        c = F.col(a).cast("double")
+        out = out.select("*", F.explode(F.sequence(F.floor((c - wide) / size), F.floor((c + wide) / size))).alias(n))
+    return out

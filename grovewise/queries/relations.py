@@ -249,6 +249,15 @@ def _(spark, sf):
     return near.withColumn("distance", F.round("distance", 6))
 
 
+@query("jn05_same_class_nearest", f"""SELECT point_id, kept_id, round(d, 6) AS distance FROM (SELECT a.point_id, b.point_id AS kept_id, {_dist('a', 'b')} AS d, row_number() OVER (PARTITION BY a.point_id ORDER BY {_dist('a', 'b')}, b.point_id) AS rn
+ FROM {_near_sql(0.2, 'a.tree_id = b.tree_id AND a.cloud_id = b.cloud_id', left=f'(SELECT * FROM {G} WHERE point_id % 2 = 1)', right=f'(SELECT * FROM {G} WHERE point_id % 2 = 0)')} WHERE {_dist('a', 'b')} < 0.2) WHERE rn = 1""")
+def _(spark, sf):
+    g = given_points(spark, sf).select("cloud_id", "tree_id", "point_id", "x", "y", "z")
+    kept = g.filter("point_id % 2 = 0").withColumnRenamed("point_id", "kept_id")
+    got = neighbours.nearest(g.filter("point_id % 2 = 1"), kept, 0.2, "point_id", "kept_id", ["cloud_id", "tree_id"], most=0.2)
+    return got.select("point_id", "kept_id", F.round("distance", 6).alias("distance"))
+
+
 @query("jn06_whole_lookup", f"SELECT point_id, tree_id + 100000 AS new FROM {P} WHERE tree_id > 0 AND tree_id % 10 = 0")
 def _(spark, sf):
     moves = table(spark, sf, "points").filter("tree_id > 0 and tree_id % 10 = 0").select("tree_id").distinct().withColumn("new", F.col("tree_id") + 100000)
@@ -290,7 +299,7 @@ def _(spark, sf):
     return _scored_pairs(spark, sf).select("tree_id", F.col("ordinal").alias("stem_uid"), F.round("distance", 4).alias("distance"), F.round("score", 4).alias("score"))
 
 
-@query("jn13_manual_links", f"SELECT t.tree_id, s.stem_uid, round({_dist('s', 't', 'xy')}, 4) AS distance FROM (SELECT DISTINCT tree_id, tree_id % 500 AS stem_uid FROM tree_stats) l JOIN {_TREES} t USING (tree_id) JOIN {_STEMS} s ON s.stem_uid = l.stem_uid AND s.cloud_id = t.cloud_id")
+@query("jn13_manual_links", f"SELECT t.tree_id, s.stem_uid, round({_dist('s', 't', 'xy')}, 4) AS distance FROM (SELECT DISTINCT tree_id, tree_id % 500 AS stem_uid FROM tree_stats) l JOIN {_TREES} t USING (tree_id) JOIN {_STEMS} s ON s.stem_uid = l.stem_uid AND s.cloud_id = t.cloud_id WHERE s.x IS NOT NULL AND s.y IS NOT NULL")
 def _(spark, sf):
     links = _trees(spark, sf).select("cloud", "tree_id", (F.col("tree_id") % 500).cast("string").alias("stem_id"))
     return inventory.linked_matches(links, _trees(spark, sf), _stems(spark, sf)).select("tree_id", F.col("ordinal").alias("stem_uid"), F.round("distance", 4).alias("distance"))
@@ -708,3 +717,31 @@ def _(spark, sf):
 def _(spark, sf):
     rgb = saved_colour(F.col("tree_id"))
     return points(spark, sf).select("point_id", ((F.get(rgb, 0) + F.get(rgb, 1) + F.get(rgb, 2)) == 0).alias("black"))
+
+
+@query("itr05_thinning_decision")
+def _(spark, sf):
+    got = voxels.decide_thinning(given_points(spark, sf).select("point_id", "x", "y", "z"), ask=lambda spacing, voxel, kept: voxel, edge=6.0)
+    return spark.createDataFrame([(round(got.spacing, 4), got.offered, got.voxel)], "spacing double, offered double, voxel double")
+
+
+@query("dml10_load_scene", f"""WITH b AS (SELECT min(x) AS lx, max(x) AS hx, min(y) AS ly, max(y) AS hy, min(z) AS lz, max(z) AS hz FROM points WHERE tree_id = 10003)
+ SELECT tree_id, count(*) AS n FROM {P}, b WHERE tree_id = 10003 OR (tree_id = 0 AND x BETWEEN lx - 0.5::FLOAT AND hx + 0.5::FLOAT AND y BETWEEN ly - 0.5::FLOAT AND hy + 0.5::FLOAT AND z BETWEEN lz - 0.5::FLOAT AND hz + 0.5::FLOAT) GROUP BY tree_id""")
+def _(spark, sf):
+    return statistics.label_counts(edits.scene_points(points(spark, sf), [10003], 0.5))
+
+
+@query("dml13_mark_done", "SELECT tree_id FROM tree_records WHERE tree_id % 3 = 0 UNION SELECT tree_id FROM tree_stats WHERE height > 20")
+def _(spark, sf):
+    done = table(spark, sf, "tree_records").filter("tree_id % 3 = 0").select("tree_id")
+    return done.union(table(spark, sf, "tree_stats").filter("height > 20").select("tree_id")).distinct()
+
+
+@query("gen03_thin_to_spacing", f"SELECT min(point_id) AS point_id FROM {G} GROUP BY cloud_id, {_CELL.format('x', 0.5)}, {_CELL.format('y', 0.5)}, {_CELL.format('z', 0.5)}")
+def _(spark, sf):
+    return voxels.first_of_cubes(table(spark, sf, "points"), 0.5, ["cloud_id"]).select("point_id")
+
+
+@query("snk16_sidecar_upsert", "SELECT cloud_id, list_sort(list(DISTINCT tree_id)) AS done FROM tree_records WHERE tree_id % 10 = 0 GROUP BY cloud_id")
+def _(spark, sf):
+    return table(spark, sf, "tree_records").filter("tree_id % 10 = 0").groupBy("cloud_id").agg(F.array_sort(F.collect_set("tree_id")).alias("done"))

@@ -237,3 +237,35 @@ def _cut(source: str, layout: LasLayout, places: str, most: int = 1_000_000) ->
 def least_shift(layouts: list[LasLayout]) -> tuple[float, float, float]:
     """The offsets of a merged file: the least of all files' along each axis."""
     return tuple(min(x.shift[k] for x in layouts) for k in range(3))
+
+
+def save_las(df: DataFrame, path: str, like: str, label: str, shift: tuple[float, float, float] | None = None, ident: str = "point_id") -> None:
+    """A LAS file in another file's format and scales, from x, y, z (world units) and the fields that the table has; others are 0. The label goes into the extra field ``label``, added as int if there is none."""
+    layout = las_layout(like)
+    with open(like, "rb") as f:
+        header = bytearray(f.read(layout.offset))
+    fields, record = list(layout.fields), layout.record
+    if label not in [n for n, _ in fields]:
+        if record != layout.dtype.fields[fields[-1][0]][1] + np.dtype(fields[-1][1]).itemsize:
+            raise ValueError(f"{like} has record bytes of unknown meaning")
+        body = struct.pack("<HBB32s4s24s24s24s24s24s32s", 0, 6, 0, label.encode(), b"", b"", b"", b"", b"", b"", b"")
+        header += struct.pack("<H16sHH32s", 0, b"LASF_Spec", 4, len(body), b"") + body
+        fields.append((label, "i4"))
+        record += 4
+        struct.pack_into("<I", header, 96, len(header))
+        struct.pack_into("<I", header, 100, struct.unpack_from("<I", header, 100)[0] + 1)
+        struct.pack_into("<H", header, 105, record)
+    shift = shift or layout.shift
+    struct.pack_into("<3d", header, 155, *shift)
+    raw = [F.rint((F.col(a) - F.lit(o)) / F.lit(s)).cast("int").alias(a.upper()) for a, s, o in zip("xyz", layout.scale, shift)]
+    rest = [F.col(n) if n in df.columns else F.lit(0).alias(n) for n, t in fields[3:]]
+    ordered = df.repartitionByRange(ident).sortWithinPartitions(ident).select(*raw, *rest)
+    offsets = np.cumsum([0, *[np.dtype(t).itemsize for _, t in fields]])[:-1].tolist()
+    dtype = np.dtype({"names": [n for n, _ in fields], "formats": ["<" + t for _, t in fields], "offsets": offsets, "itemsize": record})
+    parts = write_parts(ordered, dtype)
+    join_parts(bytes(_counted(header, sum(p[-1] for p in parts))), [p[-2] for p in parts], path)
+
+
+def decompress(path: str) -> None:
+    """LAZ can't be read or written here."""
+    raise ValueError(f"{path}: there is no LAZ codec; convert the file to LAS first")
