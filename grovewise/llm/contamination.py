@@ -45,28 +45,27 @@ def seeds_of(words: str, n: int = SEED) -> Column:
 def best_stretch(item: list[int], doc: np.ndarray, stretch: int = STRETCH, one_in: int = ONE_IN) -> tuple[int, int, int] | None:
     """(words of the item's stretch, errors, where it ends in doc) of the longest stretch that counts, else None.
 
-    A stretch of the item's words in order counts if it has at least ``stretch`` words and at most one in ``one_in`` is changed, added or left out. For each number of errors the longest
-    stretch that ends at each pair of places is carried forward (dynamic programming over the item's words, vectorised over the document's).
+    A stretch of the item's words in order counts if it has at least ``stretch`` words, its first and last word are there, and at most one in ``one_in`` is changed, added or left out. For each number of
+    errors the longest stretch that ends at each pair of places is carried forward (dynamic programming over the item's words, vectorised over the document's).
     """
     n, errors = len(doc), len(item) // one_in
     gone = -(10**6)
     best = None
     before = np.full((errors + 1, n + 1), gone)  # after the item's previous word
-    before[0] = 0
-    for word in item:
+    for word in item if n else ():
         now = np.full((errors + 1, n + 1), gone)
         same = doc == word
-        now[0, 1:] = np.where(same, before[0, :-1] + 1, 0)
-        now[0, 0] = 0
+        now[0, 1:] = np.where(same, np.maximum(before[0, :-1], 0) + 1, gone)
         for e in range(1, errors + 1):
             now[e, 1:] = np.where(same, before[e, :-1] + 1, before[e - 1, :-1] + 1)
             np.maximum(now[e], before[e - 1] + 1, out=now[e])
             np.maximum(now[e, 1:], now[e - 1, :-1], out=now[e, 1:])
         for e in range(errors + 1):
-            at = int(now[e].argmax())
-            length = int(now[e, at])
+            held = np.where(same, np.maximum(before[e, :-1], 0 if e == 0 else gone) + 1, gone)  # ends with this word
+            at = int(held.argmax())
+            length = int(held[at])
             if length >= max(stretch, one_in * e) and (best is None or length > best[0]):
-                best = (length, e, at)
+                best = (length, e, at + 1)
         before = now
     return best
 
