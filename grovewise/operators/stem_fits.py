@@ -7,14 +7,16 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from grovewise.plans.ranking import percentile_by_sort
+
 # Fixed values (metres; shares of the radius): height and half thickness of the slab, and what counts as a stem.
 BREAST_HEIGHT, HALF_SLAB = 1.3, 0.15
 LEAST_POINTS, THINNEST, THICKEST, WORST_FIT, GOOD_FIT = 8, 0.02, 3.0, 0.45, 0.2
 
 
 def ground_levels(points: DataFrame, keys: Sequence[str] = ("tree_id",)) -> DataFrame:
-    """(keys, base_z): the first percentile of height, interpolated between neighbours. The exact aggregate counts equal values together; for groups of billions use the sorted percentiles instead."""
-    return points.filter("z is not null").groupBy(*keys).agg(F.percentile(F.col("z").cast("double"), 0.01).alias("base_z"))
+    """(keys, base_z): the first percentile of height, interpolated between neighbours, by one sort over all tasks, so that a label of any size may be among them."""
+    return percentile_by_sort(points, list(keys), "z", 0.01, "base_z")
 
 
 def stem_diameters(points: DataFrame, keys: Sequence[str] = ("tree_id",), base: DataFrame | None = None) -> DataFrame:

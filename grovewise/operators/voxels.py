@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from grovewise.functions.geometry import voxel
 from grovewise.operators.neighbours import nearest
+from grovewise.plans.ranking import percentile_by_sort
 
 AXES = ("x", "y", "z")
 # A cloud is dense below this spacing, and the voxel offered then (metres).
@@ -58,9 +59,9 @@ def nearest_distances(points: DataFrame, start: float, keys: Sequence[str] = (),
 def spacing(points: DataFrame, start: float = 0.05, keys: Sequence[str] = (), ident: str = "point_id") -> DataFrame:
     """(keys, spacing): the median distance to the nearest other point, exactly; 0.01 where it is 0 or a cloud has fewer than two points."""
     near = nearest_distances(points, start, keys, ident).join(points.select(*keys, ident), ident) if keys else nearest_distances(points, start, keys, ident)
-    got = near.groupBy(*keys).agg(F.median("distance").alias("_m"))
+    got = percentile_by_sort(near, list(keys), "distance", 0.5, "_m")
     if not keys:
-        return got.select(F.when(F.coalesce("_m", F.lit(0.0)) == 0, NO_SPACING).otherwise(F.col("_m")).alias("spacing"))
+        return got.agg(F.max("_m").alias("_m")).select(F.when(F.coalesce("_m", F.lit(0.0)) == 0, NO_SPACING).otherwise(F.col("_m")).alias("spacing"))
     all_keys = points.select(*keys).distinct()
     return all_keys.join(got, list(keys), "left").select(*keys, F.when(F.coalesce("_m", F.lit(0.0)) == 0, NO_SPACING).otherwise(F.col("_m")).alias("spacing"))
 

@@ -68,3 +68,22 @@ class Sorted:
             "wanted",
         )
         return self.rows.select(PLACE, *value).join(broadcast_bounded(wanted, most), PLACE).select(*value, "_keep.*")
+
+
+def percentile_by_sort(df: DataFrame, keys: list[str], value: str, share: float, name: str) -> DataFrame:
+    """(keys, name): for each key the value at ``share`` (0 to 1), interpolated between neighbours; nulls and NaN don't count.
+
+    The exact aggregate function holds all distinct values of a key in one task; here a key of any size is sorted over all tasks, and two rows of it are picked.
+    """
+    c = F.col(value).cast("double")
+    given = df.filter(c.isNotNull() & ~F.isnan(c)).select(*keys, c.alias("_v"))
+    if not keys:
+        given, keys = given.withColumn("_all", F.lit(0)), ["_all"]
+    order = Sorted(given, keys, ["_v"])
+    at = (F.col("_total") - 1) * F.lit(share)
+    ends = order.pieces.groupBy(*keys).agg(F.max("_total").alias("_total")).select(*keys, F.floor(at).alias("_lo"), (at - F.floor(at)).alias("_part"), F.least(F.floor(at) + 1, F.col("_total") - 1).alias("_hi"))
+    wanted = ends.select("*", F.explode(F.array_distinct(F.array("_lo", "_hi"))).alias("_want_rank"))
+    found = order.at(wanted, "_want_rank", ["_lo", "_part", "_want_rank"], [*keys, "_v"])
+    low, high = F.min("_v"), F.max("_v")
+    out = found.groupBy(*keys).agg((low + F.when(F.max("_part") > 0, F.max("_part") * (high - low)).otherwise(0.0)).alias(name))
+    return out.drop("_all")
