@@ -17,10 +17,10 @@ class LinkSettings:
     """Limits in metres and natural logarithms; each list of bounds makes one agreement level more than it has bounds."""
 
     reach: float = 8.0  # farthest displacement of a survey
-    near: float = 3.0  # farthest pair of the first pass, survey displacement removed
-    far: float = 10.0  # farthest pair of the second pass, which needs like sizes
+    near: float = 4.0  # farthest pair of the first pass, survey displacement removed
+    far: float = 8.0  # farthest pair of the second pass, which needs like sizes
     vote_bin: float = 0.5
-    distance: tuple[float, ...] = (0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0)
+    distance: tuple[float, ...] = (0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0, 4.0)
     dbh: tuple[float, ...] = (0.05, 0.1, 0.15, 0.25, 0.4)
     height: tuple[float, ...] = (0.5, 1.0, 1.5, 2.5, 4.0)
     poor_fit: float = 0.2  # above it a diameter isn't compared
@@ -136,12 +136,19 @@ def scored_pairs(a: DataFrame, b: DataFrame, s: LinkSettings = LinkSettings()) -
     blur = F.coalesce(F.col("apart") / 0.4, F.lit(3.0)) ** 2 + F.coalesce(F.col("_r") / 0.1, F.lit(1.0)) ** 2 + F.coalesce(F.col("_h") / 1.0, F.lit(1.0)) ** 2
     levels = [_level(F.col("apart"), s.distance).alias("l0"), _level(F.col("_r"), s.dbh).alias("l1"), _level(F.col("_h"), s.height).alias("l2")]
     pairs = materialize(pairs.select("a_id", "b_id", "apart", blur.alias("blur"), *levels), "pairs")
-    patterns = [((r["l0"], r["l1"], r["l2"]), r["count"]) for r in pairs.groupBy("l0", "l1", "l2").count().collect()]
-    p, m, u = fit(patterns, (len(s.distance) + 1, len(s.dbh) + 1, len(s.height) + 1), s.rounds)
-    weight = F.lit(float(np.log(p / (1 - p))))
+    # Only the first pass takes pairs whatever their sizes, so only it tells how sizes differ by chance.
+    near = pairs.filter(F.col("l0").between(0, len(s.distance) - 1))
+    patterns = [((r["l0"], r["l1"], r["l2"]), r["count"]) for r in near.groupBy("l0", "l1", "l2").count().collect()]
+    p, m, u = fit(patterns, (len(s.distance), len(s.dbh) + 1, len(s.height) + 1), s.rounds)
+    tables = [np.log(m[k] / u[k]) for k in range(3)]
+    # Beyond the first pass chance pairs grow with the area, and matches are taken as half as likely as in its last ring.
+    ring = (s.far**2 - s.near**2) / (s.near**2 - s.distance[-2] ** 2)
+    tables[0] = np.append(tables[0], min(tables[0][-1], 0.0) - np.log(2 * ring))
+    trees = a.groupBy("cloud").agg(F.count("*").alias("n")).agg(F.avg("n")).first()[0] or 1.0
+    # A pair without a position could be with any tree of its cloud.
+    weight = F.when(F.col("l0") < 0, float(-np.log(trees))).otherwise(float(np.log(p / (1 - p))))
     for k in range(3):
-        table = F.array(*[F.lit(float(x)) for x in np.log(m[k] / u[k])])
-        weight = weight + F.when(F.col(f"l{k}") >= 0, F.get(table, F.col(f"l{k}"))).otherwise(0.0)
+        weight = weight + F.when(F.col(f"l{k}") >= 0, F.get(F.array(*[F.lit(float(x)) for x in tables[k]]), F.col(f"l{k}"))).otherwise(0.0)
     return pairs.withColumn("weight", weight).withColumn("confidence", 1 / (1 + F.exp(-F.col("weight")))).select("a_id", "b_id", "confidence", "weight", "apart", "blur")
 
 
