@@ -210,11 +210,11 @@ def _(spark, sf):
     return c.filter(edits.shown(hide_unassigned=True) & F.col("ok") & geometry.in_polygon(F.col("cx"), F.col("cy"), LASSO)).select("point_id")
 
 
-@query("flt04_path_thinning")
+@query("flt04_path_thinning", "SELECT 41 AS drawn, 11 AS kept, 0.0::DOUBLE AS first, 40.0::DOUBLE AS last")
 def _(spark, sf):
-    path = table(spark, sf, "events").filter("value is not null").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", (F.col("event_id") % 97 * 1.5).alias("x"), F.col("value").alias("y")))).alias("p"))
-    kept = geometry.thinned_path(F.transform("p", lambda s: F.struct(s["x"].cast("double").alias("x"), s["y"].cast("double").alias("y"))), 3.0)
-    return path.select("user_id", F.size("p").alias("drawn"), F.size(kept).alias("kept"))
+    drawn = spark.createDataFrame([([(float(k), float(k % 2)) for k in range(41)],)], "p array<struct<x double, y double>>")
+    kept = geometry.thinned_path(F.col("p"), 3.9)
+    return drawn.select(F.size("p").alias("drawn"), F.size(kept).alias("kept"), F.get(kept, 0)["x"].alias("first"), F.element_at(kept, -1)["x"].alias("last"))
 
 
 @query("flt05_visibility", f"SELECT point_id FROM {P} WHERE tree_id NOT IN (0, -1) AND tree_id NOT IN (3, 42) AND z BETWEEN 0.5 AND 20")
@@ -262,8 +262,9 @@ def _(spark, sf):
 
 @query("flt12_fade_others", "SELECT DISTINCT tree_id FROM points WHERE tree_id NOT IN (0, -1, 3)")
 def _(spark, sf):
-    others = table(spark, sf, "points").filter(labels.is_tree(F.col("tree_id"))).agg(F.array_except(F.array_union(F.collect_set("tree_id"), F.array()), F.array(F.lit(3))).alias("t"))
-    return others.select(F.explode("t").alias("tree_id"))
+    loaded = table(spark, sf, "points").filter(labels.is_tree(F.col("tree_id"))).select("tree_id").distinct()
+    current = spark.createDataFrame([(3,)], "tree_id int")
+    return loaded.join(F.broadcast(current), "tree_id", "left_anti")
 
 
 @query("flt14_needs_shift", "SELECT cloud_id, max(greatest(abs(x::DOUBLE + shift_x), abs(y::DOUBLE + shift_y))) > 10000 AS needed FROM points JOIN clouds USING (cloud_id) WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY cloud_id")

@@ -119,6 +119,12 @@ def _(spark, sf):
     return rounded(voxels.kept_share(given_points(spark, sf), 6.0, 0.5, keys=["cloud_id"]))
 
 
+@query("agg13_tree_distances", f"""WITH h AS (SELECT a.cloud_id, a.tree_id AS t, b.tree_id AS o, min({_dist('a', 'b')}) AS d FROM {_near_sql(0.15, 'a.cloud_id = b.cloud_id AND a.tree_id < b.tree_id AND a.tree_id NOT IN (0, -1) AND b.tree_id NOT IN (0, -1)')} WHERE {_dist('a', 'b')} < 0.15 GROUP BY ALL)
+ SELECT cloud_id, t AS tree_id, o AS other_id, round(d, 5) AS distance FROM h UNION ALL SELECT cloud_id, o, t, round(d, 5) FROM h""")
+def _(spark, sf):
+    return rounded(neighbours.all_neighbour_trees(table(spark, sf, "points").select("cloud_id", "tree_id", "x", "y", "z"), 0.15, ["cloud_id"]), 5)
+
+
 @query("agg14_ground_levels", f"SELECT tree_id, round(quantile_cont(z::DOUBLE, 0.01), 5) AS base_z FROM {P} WHERE z IS NOT NULL AND tree_id > 0 GROUP BY tree_id")
 def _(spark, sf):
     p = table(spark, sf, "points").filter("z is not null and tree_id > 0").select("point_id", "tree_id", "z").distinct()
@@ -161,6 +167,16 @@ def _(spark, sf):
     return rounded(inventory.offset_histogram(_stems(spark, sf), _trees(spark, sf), 2.0, 8.0))
 
 
+@query("agg20_shift_refine", f"""SELECT cloud_id AS cloud, round(avg(ex), 4) AS dx, round(avg(ey), 4) AS dy, count(*) AS n FROM (SELECT s.cloud_id, t.x - s.x AS ex, t.y - s.y AS ey, row_number() OVER (PARTITION BY s.stem_uid ORDER BY {_dist('s', 't', 'xy')}, t.tree_id) AS rn
+ FROM {_STEMS} s JOIN {_TREES} t USING (cloud_id) WHERE {_dist('s', 't', 'xy')} < 2) WHERE rn = 1 GROUP BY cloud_id""")
+def _(spark, sf):
+    s = _stems(spark, sf).select("cloud", "ordinal", "x", "y")
+    t = _trees(spark, sf).select("cloud", "tree_id", "x", "y")
+    near = neighbours.nearest(s, t, 2.0, "ordinal", "tree_id", ["cloud"], axes=("x", "y"), most=2.0)
+    both = near.join(s.select("ordinal", "cloud", F.col("x").alias("sx"), F.col("y").alias("sy")), "ordinal").join(t.drop("cloud"), "tree_id")
+    return rounded(both.groupBy("cloud").agg(F.avg(F.col("x") - F.col("sx")).alias("dx"), F.avg(F.col("y") - F.col("sy")).alias("dy"), F.count("*").alias("n")))
+
+
 @query("agg21_alignment_quality", f"""SELECT cloud_id AS cloud, count(d) AS matched, round(median(d), 4) AS residual FROM (SELECT s.cloud_id, s.stem_uid, min(sqrt((t.x - s.x - 1.5::DOUBLE) * (t.x - s.x - 1.5::DOUBLE) + (t.y - s.y) * (t.y - s.y))) FILTER (WHERE sqrt((t.x - s.x - 1.5::DOUBLE) * (t.x - s.x - 1.5::DOUBLE) + (t.y - s.y) * (t.y - s.y)) <= 2) AS d
  FROM {_STEMS} s JOIN {_TREES} t USING (cloud_id) WHERE s.x IS NOT NULL AND s.y IS NOT NULL GROUP BY s.cloud_id, s.stem_uid) GROUP BY cloud_id""")
 def _(spark, sf):
@@ -399,6 +415,12 @@ def _(spark, sf):
     return recent_entries(e)
 
 
+@query("win12_greedy_order", f"SELECT row_number() OVER (ORDER BY round(score, 6), tree_id, stem_uid) - 1 AS place, tree_id, stem_uid FROM {_SCORED} WHERE round(score, 6) <= 2")
+def _(spark, sf):
+    pairs = _scored_pairs(spark, sf).select(F.lit(0).alias("_all"), F.round("score", 6).alias("score"), "tree_id", F.col("ordinal").alias("stem_uid")).filter("score <= 2")
+    return Sorted(pairs, ["_all"], ["score", "tree_id", "stem_uid"]).ranked("place").select("place", "tree_id", "stem_uid")
+
+
 @query("win13_kept_rows", f"SELECT point_id FROM (SELECT *, row_number() OVER (PARTITION BY cloud_id, i, j, k ORDER BY off, point_id) AS rn FROM {_VOX}) WHERE rn = 1")
 def _(spark, sf):
     return voxels.thinned(given_points(spark, sf), 0.5, ["cloud_id"]).select("point_id").orderBy("point_id")
