@@ -85,7 +85,19 @@ _IN_FORCE = """(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cloud_i
  FROM tree_records) WHERE rn = 1)"""
 _COUNTS = "(SELECT tree_id, count(DISTINCT point_id) AS points FROM points GROUP BY tree_id)"
 
+_F = r"""(?:"(?:[^"]|"")*"|[^",]*)"""
+_NUM = r"^[-+]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)(?:[eE][-+]?[0-9]+)?$"
+_OK = f"(regexp_matches({{0}}, '{_NUM}') AND coalesce(isfinite(TRY_CAST({{0}} AS DOUBLE)), false))"
+#: Data lines with whether their quoting holds, and their fields.
+_LINES = rf"""(SELECT line_id, well, f, well AND len(f) = 5 AND regexp_matches(f[1], '^[0-9]+$') AND regexp_matches(f[1], '[1-9]') AND {_OK.format('f[2]')} AND {_OK.format('f[3]')} AND (f[4] = '' OR ({_OK.format('f[4]')} AND coalesce(TRY_CAST(f[4] AS DOUBLE), -1) >= 0)) AS valid FROM
+ (SELECT line_id, regexp_matches(s, '^\s*{_F}\s*(?:,\s*{_F}\s*)*$') AS well,
+ [regexp_replace(CASE WHEN x LIKE '"%' THEN replace(substr(x, 2, length(x) - 2), '""', '"') ELSE x END, '^\s+|\s+$', '', 'g') FOR x IN regexp_extract_all(',' || s, ',\s*({_F})\s*', 1)] AS f
+ FROM (SELECT line_id, regexp_replace(ltrim(raw_line, chr(65279)), '[\r\n]+$', '') AS s FROM stem_csv_lines) WHERE regexp_matches(s, '\S') AND NOT regexp_matches(s, '^\s*#'))
+ WHERE NOT (well AND [lower(x) FOR x IN f] = ['tree_id', 'x', 'y', 'dbh_m', 'species']))"""
+
 SQL = {
+    "p7_found": f"SELECT line_id, CASE WHEN NOT well THEN 'broken_quoting' WHEN len(f) <> 5 THEN 'wrong_columns' ELSE 'invalid_value' END AS reason FROM {_LINES} WHERE NOT valid",
+    "p7_rows": f"SELECT line_id, CAST(f[1] AS BIGINT) AS tree_id, CAST(f[2] AS DOUBLE) AS x, CAST(f[3] AS DOUBLE) AS y, TRY_CAST(f[4] AS DOUBLE) AS dbh_m, nullif(f[5], '') AS species FROM {_LINES} WHERE valid",
     "p3_found": f"""WITH s AS (SELECT DISTINCT stem_uid, x, y FROM stems WHERE x IS NOT NULL AND y IS NOT NULL),
  p AS (SELECT DISTINCT point_id, CAST(x AS DOUBLE) + shift_x AS wx, CAST(y AS DOUBLE) + shift_y AS wy FROM points JOIN clouds USING (cloud_id) WHERE x IS NOT NULL AND y IS NOT NULL),
  t AS (SELECT tree_id, centroid.x + shift_x AS wx, centroid.y + shift_y AS wy FROM {_IN_FORCE} JOIN clouds USING (cloud_id) WHERE centroid IS NOT NULL),
