@@ -23,7 +23,7 @@ def _trim(c: Column) -> Column:
 def fields_of(line: Column) -> Column:
     """The fields of a line whose quoting holds, quotes removed, doubled quotes single, trimmed."""
     # With a comma before the first field too, every match takes a character, so that an empty first field isn't passed over.
-    parts = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(rf",({_FIELD})"), 1)
+    parts = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(rf",\s*+({_FIELD})\s*+"), 1)
     plain = lambda f: F.when(f.startswith('"'), F.replace(F.substr(f, F.lit(2), F.length(f) - 2), F.lit('""'), F.lit('"'))).otherwise(f)
     return F.transform(parts, lambda f: _trim(plain(f)))
 
@@ -49,9 +49,8 @@ def split_lines(lines: DataFrame, line_id: str = "line_id", raw: str = "raw_line
     all_lines = lines.select(F.col(line_id).alias("line_id"), F.col(raw).alias("raw_line"), bare_line(F.col(raw)).alias("_line"))
     spaced = rf"\s*+(?:{_FIELD})\s*+"
     quoted_well = F.col("_line").rlike(rf"^{spaced}(?:,{spaced})*+$")
-    tidy = F.regexp_replace(F.regexp_replace("_line", r'(^|,)\s+(?=")', "$1"), r'"\s+(?=,|$)', '"')
     data = all_lines.filter(F.col("_line").isNotNull() & F.col("_line").rlike(r"\S") & ~F.col("_line").rlike(r"^[\s﻿]*#"))
-    data = data.withColumn("_well", quoted_well).withColumn("_f", F.when(F.col("_well"), fields_of(tidy)))
+    data = data.withColumn("_well", quoted_well).withColumn("_f", F.when(F.col("_well"), fields_of(F.col("_line"))))
     names = F.array(*[F.lit(n) for n in HEADER])
     data = data.filter(~F.coalesce(F.transform("_f", lambda f: F.lower(f)) == names, F.lit(False)))
     f = lambda i: F.get("_f", i)
