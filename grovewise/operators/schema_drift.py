@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from grovewise.operators.components import label_components
 from grovewise.operators.records import latest
 from grovewise.plans.ranking import Sorted
+from grovewise.session import materialize
 
 # PLY types under one name each, and names of one quantity under its usual name.
 TYPES = {"int8": "char", "uint8": "uchar", "int16": "short", "uint16": "ushort", "int32": "int", "uint32": "uint", "float32": "float", "float64": "double"}
@@ -25,7 +27,7 @@ QUANTITIES = {
     "amplitude": ["amplitude", "amp"],
     "x": ["x"], "y": ["y"], "z": ["z"],
 }
-#: The consistent table's columns: quantity, type, and what a file without the field gets.
+#: The consistent table's columns: quantity and type.
 COLUMNS = {"x": "double", "y": "double", "z": "double", "tree_id": "long", "intensity": "double", "deviation": "double", "gps_time": "double", "hag": "double", "leafwood": "long", "classification": "long", "point_source": "long", "red": "long", "reflectance": "double", "return_number": "long", "amplitude": "double"}
 
 
@@ -120,27 +122,64 @@ def schema_changes(files: DataFrame, rows: DataFrame | None = None, agree: float
     return both.select(*ids, F.explode(changes).alias("c")).select(*ids, "c.*")
 
 
-def consistent_table(files: DataFrame, rows: DataFrame, changes: DataFrame | None = None) -> DataFrame:
+def migrations(files: DataFrame, changes: DataFrame) -> DataFrame:
+    """(source_id, routes): for each file a map from its fields' names to where their values belong: a column of ``COLUMNS``, or "?" and a name in ``others``.
+
+    A field lives in a run of successive versions; a recorded renaming ties the end of one run to the start of another, so renamings compose, forwards and
+    backwards, into chains over any number of versions. A chain's column is that of its newest name that is known, else its values go by its newest name (unless
+    the file has a field of that name, or two chains claim it). A name used again later for something else is another run. Runs come from one distributed sort,
+    chains from connected components; only the fields of one file are ever listed together.
+    """
+    fields = versions(files).select("series_id", "source_id", "version", F.explode(F.transform("attributes", lambda a: a["name"])).alias("_name"))
+    fields = Sorted(fields, ["series_id", "_name"], ["version"]).ranked("_r").withColumn("_run", F.col("version") - F.col("_r")).drop("_r")
+    runs = fields.groupBy("series_id", "_name", "_run").agg(F.max("version").alias("_last"))
+    runs = materialize(runs.withColumn("_id", F.monotonically_increasing_id()), "runs")
+    of_run = runs.select(F.col("series_id").alias("_series"), F.col("_name").alias("_n"), F.col("_run").alias("_at"), "_id", "_last")
+    same_run = F.col("series_id").eqNullSafe(F.col("_series")) & (F.col("_name") == F.col("_n")) & (F.col("_run") == F.col("_at"))
+    fields = materialize(fields.join(of_run, same_run).select("source_id", "_name", "_id", "_last"), "fields")
+    end = lambda source, name, to: fields.select(F.col("source_id").alias(source), F.col("_name").alias(name), F.col("_id").alias(to))
+    ties = changes.filter(F.col("change_kind") == "renamed").select("source_id", "field", "before_id", "was")
+    ties = ties.join(end("source_id", "field", "a_id"), ["source_id", "field"]).join(end("before_id", "was", "b_id"), ["before_id", "was"])
+    chains = label_components(ties.select("a_id", "b_id")).select(F.col("id").alias("_id"), F.col("component").alias("_chain"))
+    fields = fields.join(chains, "_id", "left").withColumn("_chain", F.coalesce("_chain", "_id"))
+    known = quantity_of(F.col("_name"))
+    of_chain = fields.groupBy("_chain").agg(F.max_by(known, F.when(known.isNotNull(), F.struct("_last", "_id"))).alias("_q"), F.max_by("_name", F.struct("_last", "_id")).alias("_newest"))
+    fields = fields.join(of_chain, "_chain")
+    listed = fields.groupBy("source_id").agg(F.collect_list(F.struct(F.col("_name").alias("name"), F.col("_q").alias("q"), F.col("_newest").alias("newest"))).alias("_l"))
+    names = F.transform("_l", lambda g: g["name"])
+    free = lambda f: ~F.array_contains(names, f["newest"]) & (F.size(F.filter("_l", lambda g: g["q"].isNull() & (g["newest"] == f["newest"]))) == 1)
+    place = lambda f: F.coalesce(f["q"], F.concat(F.lit("?"), F.when(free(f), f["newest"]).otherwise(f["name"])))
+    return listed.select("source_id", F.map_from_entries(F.transform("_l", lambda f: F.struct(f["name"], place(f)))).alias("routes"))
+
+
+def consistent_table(files: DataFrame, rows: DataFrame, changes: DataFrame | None = None, defaults: dict[str, object] | None = None) -> DataFrame:
     """All ``rows`` under one schema: series, version, source, row number, ``COLUMNS``, and ``others`` (a map of what has no column).
 
-    A field's column is that of the quantity its name is known for; a name not known takes the column of the known name that a recorded
-    renaming (``changes``) ties it to. Values are cast with null for what doesn't fit; records that are no JSON objects give nulls; rows of files
-    that aren't listed keep a null series. One pass over the rows; the file table is joined by source_id.
+    Each row goes through its own file's migration (``migrations``), composed from the recorded ``changes``; where there is none, or for names that a file doesn't list,
+    a field's column is that of the quantity its name is known for. Values are cast with null for what doesn't fit; a column that a record has no field for
+    gets its value in ``defaults``, else null, as the files themselves state none. Records that are no JSON objects give nulls; rows of files
+    that aren't listed keep a null series. One pass over the rows; the file table and migrations are joined by source_id.
     """
     v = versions(files).select("source_id", "series_id", "version")
-    record = F.from_json("record", "map<string,string>")
-    table = rows.join(v, "source_id", "left").withColumn("_m", record)
-    learned = F.create_map().cast("map<string,string>")
+    table = rows.join(v, "source_id", "left").withColumn("_m", F.from_json("record", "map<string,string>"))
     if changes is not None:
-        ties = changes.filter(F.col("change_kind") == "renamed").select("series_id", F.col("field").alias("_n"), quantity_of(F.col("was")).alias("_q"))
-        ties = ties.filter(quantity_of(F.col("_n")).isNull() & F.col("_q").isNotNull()).groupBy("series_id", "_n").agg(F.min("_q").alias("_q"))
-        ties = ties.groupBy("series_id").agg(F.map_from_entries(F.collect_list(F.struct("_n", "_q"))).alias("_ties"))
-        table = table.join(ties, "series_id", "left")
-        learned = F.coalesce(F.col("_ties"), learned)
-    entries = F.map_entries("_m")
-    keyed = F.transform(entries, lambda e: F.struct(F.coalesce(quantity_of(e["key"]), F.try_element_at(learned, e["key"]), F.concat(F.lit("?"), e["key"])).alias("q"), e["value"].alias("v")))
-    table = table.withColumn("_e", keyed)
-    of = lambda q: F.get(F.transform(F.filter("_e", lambda e: e["q"] == q), lambda e: e["v"]), 0)
+        table = table.join(migrations(files, changes), "source_id", "left")
+    else:
+        table = table.withColumn("routes", F.lit(None).cast("map<string,string>"))
+    keys = F.map_keys("_m")
+
+    def target(key: Column) -> Column:
+        to = F.coalesce(F.try_element_at("routes", key), quantity_of(key), F.concat(F.lit("?"), key))
+        name = F.substr(to, F.lit(2))
+        return F.when(to.startswith("?") & (name != key) & F.array_contains(keys, name), F.concat(F.lit("?"), key)).otherwise(to)
+
+    table = table.withColumn("_e", F.transform(F.map_entries("_m"), lambda e: F.struct(target(e["key"]).alias("q"), e["value"].alias("v"))))
+    qs, stated = F.transform("_e", lambda e: e["q"]), defaults or {}
     cast = lambda c, kind: c.try_cast("double").try_cast(kind) if kind == "long" else c.try_cast(kind)
+
+    def column(q: str, kind: str) -> Column:
+        at = F.array_position(qs, F.lit(q)).cast("int")
+        return F.when(at == 0, F.lit(stated.get(q)).cast(kind)).otherwise(cast(F.get(F.transform("_e", lambda e: e["v"]), at - 1), kind)).alias(q)
+
     rest = F.map_from_entries(F.transform(F.filter("_e", lambda e: e["q"].startswith("?")), lambda e: F.struct(F.substr(e["q"], F.lit(2)), e["v"])))
-    return table.select("series_id", "version", "source_id", "row_no", *[cast(of(q), kind).alias(q) for q, kind in COLUMNS.items()], rest.alias("others"))
+    return table.select("series_id", "version", "source_id", "row_no", *[column(q, kind) for q, kind in COLUMNS.items()], rest.alias("others"))

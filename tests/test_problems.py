@@ -143,6 +143,33 @@ def test_one_table_of_all_files(spark):
     assert got[9, 1]["series_id"] is None and got[1, 2]["x"] is None and len(got) == 4
 
 
+def _named(spark, *names, extra=()):
+    """Files whose second field goes by these names, version by version, with three rows of the same values each."""
+    files = _files(spark, *[[("x", "float"), (n, "int"), *extra] for n in names])
+    rows = [(i + 1, k, f'{{"x": {k}, "{n}": {k * 7}}}') for i, n in enumerate(names) for k in (1, 2, 3)]
+    return files, spark.createDataFrame(rows, "source_id int, row_no int, record string")
+
+
+@pytest.mark.parametrize("names", [("tree_id", "a", "b"), ("a", "tree_id"), ("a", "b", "c", "treeID", "d")])
+def test_renamings_compose_both_ways(spark, names):
+    f, r = _named(spark, *names)
+    got = consistent_table(f, r, schema_changes(f, r)).collect()
+    assert sorted((x["source_id"], x["tree_id"]) for x in got) == sorted((i + 1, k * 7) for i in range(len(names)) for k in (1, 2, 3))
+    assert all(x["others"] == {} for x in got)
+
+
+def test_chains_without_a_known_name_reused_names_and_defaults(spark):
+    f, r = _named(spark, "zeta", "eta", "theta")
+    got = consistent_table(f, r, schema_changes(f, r), {"tree_id": 0}).collect()
+    assert all(x["others"] == {"theta": str(x["row_no"] * 7)} and x["tree_id"] == 0 and x["hag"] is None for x in got)
+    # The name that one field had is later that of another field; a file has the chain's newest name for another field already.
+    f = _files(spark, [("tree_id", "int"), ("x", "float")], [("a", "int"), ("x", "float")], [("x", "float")], [("x", "float"), ("a", "int")], [("x", "float"), ("a", "int"), ("p", "int")], [("x", "float"), ("q", "int")], [("x", "float"), ("p", "int")])
+    rows = [(s, k, rec % k) for s, rec in [(1, '{"tree_id": %d}'), (2, '{"a": %d}'), (4, '{"a": 5%d}'), (5, '{"a": 5%d, "p": 1}'), (6, '{"q": 5%d}'), (7, '{"p": 5%d}')] for k in (1, 2, 3)]
+    r = spark.createDataFrame(rows, "source_id int, row_no int, record string")
+    got = {x["source_id"]: (x["tree_id"], x["others"]) for x in consistent_table(f, r, schema_changes(f, r)).filter("row_no = 1").collect()}
+    assert got == {1: (1, {}), 2: (1, {}), 4: (None, {"p": "51"}), 5: (None, {"a": "51", "p": "1"}), 6: (None, {"p": "51"}), 7: (None, {"p": "51"})}
+
+
 # -- rows that fail to parse ---------------------------------------------------
 
 LINES = [
