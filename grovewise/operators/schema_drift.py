@@ -40,6 +40,12 @@ def quantity_of(name: Column) -> Column:
     return _lookup({alias: q for q, names in QUANTITIES.items() for alias in names}, F.lower(name))
 
 
+def alias_order(name: Column) -> Column:
+    """The place of a name among the known names of its quantity; unknown names come last."""
+    order = {alias: i for names in QUANTITIES.values() for i, alias in enumerate(names)}
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in order.items() for x in kv]), F.lower(name)), F.lit(len(order)))
+
+
 def plain_type(kind: Column) -> Column:
     return F.coalesce(_lookup(TYPES, F.lower(kind)), F.lower(kind))
 
@@ -129,14 +135,15 @@ def migrations(files: DataFrame, changes: DataFrame) -> DataFrame:
     backwards, into chains over any number of versions. A chain's column is that of its newest name that is known, else its values go by its newest name (unless
     the file has a field of that name, or two chains claim it). A name used again later for something else is another run. Runs come from one distributed sort,
     chains from connected components; only the fields of one file are ever listed together.
+    Of a file's fields for one column the first in the order of known names has it; the others go to ``others`` under their own names.
     """
-    fields = versions(files).select("series_id", "source_id", "version", F.explode(F.transform("attributes", lambda a: a["name"])).alias("_name"))
+    fields = versions(files).select("series_id", "source_id", "version", F.posexplode(F.transform("attributes", lambda a: a["name"])).alias("_nth", "_name"))
     fields = Sorted(fields, ["series_id", "_name"], ["version"]).ranked("_r").withColumn("_run", F.col("version") - F.col("_r")).drop("_r")
     runs = fields.groupBy("series_id", "_name", "_run").agg(F.max("version").alias("_last"))
     runs = materialize(runs.withColumn("_id", F.monotonically_increasing_id()), "runs")
     of_run = runs.select(F.col("series_id").alias("_series"), F.col("_name").alias("_n"), F.col("_run").alias("_at"), "_id", "_last")
     same_run = F.col("series_id").eqNullSafe(F.col("_series")) & (F.col("_name") == F.col("_n")) & (F.col("_run") == F.col("_at"))
-    fields = materialize(fields.join(of_run, same_run).select("source_id", "_name", "_id", "_last"), "fields")
+    fields = materialize(fields.join(of_run, same_run).select("source_id", "_nth", "_name", "_id", "_last"), "fields")
     end = lambda source, name, to: fields.select(F.col("source_id").alias(source), F.col("_name").alias(name), F.col("_id").alias(to))
     ties = changes.filter(F.col("change_kind") == "renamed").select("source_id", "field", "before_id", "was")
     ties = ties.join(end("source_id", "field", "a_id"), ["source_id", "field"]).join(end("before_id", "was", "b_id"), ["before_id", "was"])
@@ -145,11 +152,13 @@ def migrations(files: DataFrame, changes: DataFrame) -> DataFrame:
     known = quantity_of(F.col("_name"))
     of_chain = fields.groupBy("_chain").agg(F.max_by(known, F.when(known.isNotNull(), F.struct("_last", "_id"))).alias("_q"), F.max_by("_name", F.struct("_last", "_id")).alias("_newest"))
     fields = fields.join(of_chain, "_chain")
-    listed = fields.groupBy("source_id").agg(F.collect_list(F.struct(F.col("_name").alias("name"), F.col("_q").alias("q"), F.col("_newest").alias("newest"))).alias("_l"))
+    one = F.struct(alias_order(F.col("_name")).alias("order"), "_nth", F.col("_name").alias("name"), F.col("_q").alias("q"), F.col("_newest").alias("newest"))
+    listed = fields.groupBy("source_id").agg(F.sort_array(F.collect_list(one)).alias("_l"))
     names = F.transform("_l", lambda g: g["name"])
     free = lambda f: ~F.array_contains(names, f["newest"]) & (F.size(F.filter("_l", lambda g: g["q"].isNull() & (g["newest"] == f["newest"]))) == 1)
-    place = lambda f: F.coalesce(f["q"], F.concat(F.lit("?"), F.when(free(f), f["newest"]).otherwise(f["name"])))
-    return listed.select("source_id", F.map_from_entries(F.transform("_l", lambda f: F.struct(f["name"], place(f)))).alias("routes"))
+    leads = lambda f, i: F.array_position(F.transform("_l", lambda g: g["q"]), f["q"]) == i + 1
+    place = lambda f, i: F.when(leads(f, i), f["q"]).otherwise(F.concat(F.lit("?"), F.when(f["q"].isNull() & free(f), f["newest"]).otherwise(f["name"])))
+    return listed.select("source_id", F.map_from_entries(F.transform("_l", lambda f, i: F.struct(f["name"], place(f, i)))).alias("routes"))
 
 
 def consistent_table(files: DataFrame, rows: DataFrame, changes: DataFrame | None = None, defaults: dict[str, object] | None = None) -> DataFrame:
@@ -173,7 +182,9 @@ def consistent_table(files: DataFrame, rows: DataFrame, changes: DataFrame | Non
         name = F.substr(to, F.lit(2))
         return F.when(to.startswith("?") & (name != key) & F.array_contains(keys, name), F.concat(F.lit("?"), key)).otherwise(to)
 
-    table = table.withColumn("_e", F.transform(F.map_entries("_m"), lambda e: F.struct(target(e["key"]).alias("q"), e["value"].alias("v"))))
+    unlisted = lambda key: F.try_element_at("routes", key).isNull()
+    entry = lambda e, i: F.struct(unlisted(e["key"]).alias("unlisted"), alias_order(e["key"]).alias("order"), i.alias("i"), e["key"].alias("key"), target(e["key"]).alias("q"), e["value"].alias("v"))
+    table = table.withColumn("_e", F.array_sort(F.transform(F.map_entries("_m"), entry)))
     qs, stated = F.transform("_e", lambda e: e["q"]), defaults or {}
     cast = lambda c, kind: c.try_cast("double").try_cast(kind) if kind == "long" else c.try_cast(kind)
 
@@ -181,5 +192,6 @@ def consistent_table(files: DataFrame, rows: DataFrame, changes: DataFrame | Non
         at = F.array_position(qs, F.lit(q)).cast("int")
         return F.when(at == 0, F.lit(stated.get(q)).cast(kind)).otherwise(cast(F.get(F.transform("_e", lambda e: e["v"]), at - 1), kind)).alias(q)
 
-    rest = F.map_from_entries(F.transform(F.filter("_e", lambda e: e["q"].startswith("?")), lambda e: F.struct(F.substr(e["q"], F.lit(2)), e["v"])))
+    spare = F.filter("_e", lambda e, i: e["q"].startswith("?") | (F.array_position(qs, e["q"]) != i + 1))
+    rest = F.map_from_entries(F.transform(spare, lambda e: F.struct(F.when(e["q"].startswith("?"), F.substr(e["q"], F.lit(2))).otherwise(e["key"]), e["v"])))
     return table.select("series_id", "version", "source_id", "row_no", *[column(q, kind) for q, kind in COLUMNS.items()], rest.alias("others"))

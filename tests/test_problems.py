@@ -170,6 +170,14 @@ def test_chains_without_a_known_name_reused_names_and_defaults(spark):
     assert got == {1: (1, {}), 2: (1, {}), 4: (None, {"p": "51"}), 5: (None, {"a": "51", "p": "1"}), 6: (None, {"p": "51"}), 7: (None, {"p": "51"})}
 
 
+def test_two_fields_of_one_quantity_lose_nothing(spark):
+    f = _files(spark, [("label", "int"), ("treeID", "int"), ("cls", "int"), ("classification", "int")])
+    r = spark.createDataFrame([(1, 1, '{"label": 5, "treeID": 7, "cls": 2, "classification": 3}'), (9, 1, '{"id": 4, "tree_id": 6}')], "source_id int, row_no int, record string")
+    for changes in (None, schema_changes(f, r)):
+        got = {x["source_id"]: (x["tree_id"], x["classification"], x["others"]) for x in consistent_table(f, r, changes).collect()}
+        assert got == {1: (7, 3, {"label": "5", "cls": "2"}), 9: (6, None, {"id": "4"})}
+
+
 # -- rows that fail to parse ---------------------------------------------------
 
 LINES = [
