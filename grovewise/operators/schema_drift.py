@@ -55,15 +55,15 @@ def fingerprint(attributes: Column) -> Column:
     return F.sha2(F.array_join(F.array_sort(F.transform(attributes, lambda a: F.concat_ws(":", a["name"], plain_type(a["type"])))), ","), 256)
 
 
-def versions(files: DataFrame) -> DataFrame:
-    """Each file once (source_id), with its place in its series by ``written_at``, ``attributes`` cleaned and their fingerprint.
+def versions(files: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
+    """Each file once (source_id), with its place in its series by ``written_at``, ``attributes`` cleaned and their fingerprint, and the columns ``more`` (null where ``files`` hasn't them).
 
     Fields without a name are dropped; a name that a file repeats counts where it stands first. A null list counts as no fields.
     """
     once = latest(files.filter(F.col("source_id").isNotNull()), ["source_id"], ["received_at"])
     named = F.filter(F.coalesce("attributes", F.array().cast(dict(files.dtypes)["attributes"])), lambda a: a.isNotNull() & a["name"].isNotNull())
     first = F.filter(named, lambda a, i: F.array_position(F.transform(named, lambda b: b["name"]), a["name"]) == i + 1)
-    slim = once.select("series_id", "written_at", "source_id", first.alias("attributes"))
+    slim = once.select("series_id", "written_at", "source_id", first.alias("attributes"), *[F.col(c) if c in files.columns else F.lit(None).cast("string").alias(c) for c in more])
     ranked = Sorted(slim, ["series_id"], ["written_at", "source_id"]).ranked("version")
     return ranked.withColumn("fingerprint", fingerprint(F.col("attributes")))
 
@@ -128,41 +128,66 @@ def schema_changes(files: DataFrame, rows: DataFrame | None = None, agree: float
     return both.select(*ids, F.explode(changes).alias("c")).select(*ids, "c.*")
 
 
-def migrations(files: DataFrame, changes: DataFrame) -> DataFrame:
-    """(source_id, routes): for each file a map from its fields' names to where their values belong: a column of ``COLUMNS``, or "?" and a name in ``others``.
+def file_changes(files: DataFrame) -> DataFrame:
+    """Changes of ``label_field`` (relabelled) and ``path`` (moved) of a file against the one written just before, in the columns of ``schema_changes``: field is the value now, was the one before, null where none is stated."""
+    kinds = {"relabelled": "label_field", "moved": "path"}
+    v = versions(files, tuple(kinds.values())).select("series_id", "source_id", "version", F.explode(F.array(*[F.struct(F.lit(k).alias("change_kind"), F.col(c).alias("field")) for k, c in kinds.items()])).alias("c")).select("series_id", "source_id", "version", "c.*")
+    before = v.select(F.col("series_id").alias("_series"), (F.col("version") + 1).alias("_next"), F.col("source_id").alias("before_id"), F.col("change_kind").alias("_kind"), F.col("field").alias("was"))
+    both = v.join(before, F.col("series_id").eqNullSafe(F.col("_series")) & (F.col("version") == F.col("_next")) & (F.col("change_kind") == F.col("_kind")))
+    return both.filter(~F.col("field").eqNullSafe(F.col("was"))).select("series_id", "source_id", "before_id", "change_kind", "field", "was")
+
+
+def migrations(files: DataFrame, changes: DataFrame | None) -> DataFrame:
+    """(source_id, label, routes): the field that holds each file's labels; and for each file a map from its fields' names to where their values belong: a column of ``COLUMNS``, or "?" and a name in ``others``.
 
     A field lives in a run of successive versions; a recorded renaming ties the end of one run to the start of another, so renamings compose, forwards and
     backwards, into chains over any number of versions. A chain's column is that of its newest name that is known, else its values go by its newest name (unless
     the file has a field of that name, or two chains claim it). A name used again later for something else is another run. Runs come from one distributed sort,
     chains from connected components; only the fields of one file are ever listed together.
-    Of a file's fields for one column the first in the order of known names has it; the others go to ``others`` under their own names.
+    The label field is the one that ``label_field`` states; if the file has none of that name, the one of a chain that once had it, or spelt so but for case, or of a chain that another
+    file of the series states, or the first known one, in this order. It and its chain are ``tree_id``.
+    Of a file's fields for one column the label field, else the first in the order of known names has it; the others go to ``others`` under their own names.
     """
-    fields = versions(files).select("series_id", "source_id", "version", F.posexplode(F.transform("attributes", lambda a: a["name"])).alias("_nth", "_name"))
+    fields = versions(files, ("label_field",)).select("series_id", "source_id", "version", "label_field", F.posexplode(F.transform("attributes", lambda a: a["name"])).alias("_nth", "_name"))
     fields = Sorted(fields, ["series_id", "_name"], ["version"]).ranked("_r").withColumn("_run", F.col("version") - F.col("_r")).drop("_r")
     runs = fields.groupBy("series_id", "_name", "_run").agg(F.max("version").alias("_last"))
     runs = materialize(runs.withColumn("_id", F.monotonically_increasing_id()), "runs")
     of_run = runs.select(F.col("series_id").alias("_series"), F.col("_name").alias("_n"), F.col("_run").alias("_at"), "_id", "_last")
     same_run = F.col("series_id").eqNullSafe(F.col("_series")) & (F.col("_name") == F.col("_n")) & (F.col("_run") == F.col("_at"))
-    fields = materialize(fields.join(of_run, same_run).select("source_id", "_nth", "_name", "_id", "_last"), "fields")
-    end = lambda source, name, to: fields.select(F.col("source_id").alias(source), F.col("_name").alias(name), F.col("_id").alias(to))
-    ties = changes.filter(F.col("change_kind") == "renamed").select("source_id", "field", "before_id", "was")
-    ties = ties.join(end("source_id", "field", "a_id"), ["source_id", "field"]).join(end("before_id", "was", "b_id"), ["before_id", "was"])
-    chains = label_components(ties.select("a_id", "b_id")).select(F.col("id").alias("_id"), F.col("component").alias("_chain"))
-    fields = fields.join(chains, "_id", "left").withColumn("_chain", F.coalesce("_chain", "_id"))
+    fields = materialize(fields.join(of_run, same_run).select("series_id", "source_id", "label_field", "_nth", "_name", "_id", "_last"), "fields")
+    if changes is not None:
+        end = lambda source, name, to: fields.select(F.col("source_id").alias(source), F.col("_name").alias(name), F.col("_id").alias(to))
+        ties = changes.filter(F.col("change_kind") == "renamed").select("source_id", "field", "before_id", "was")
+        ties = ties.join(end("source_id", "field", "a_id"), ["source_id", "field"]).join(end("before_id", "was", "b_id"), ["before_id", "was"])
+        chains = label_components(ties.select("a_id", "b_id")).select(F.col("id").alias("_id"), F.col("component").alias("_chain"))
+        fields = materialize(fields.join(chains, "_id", "left").withColumn("_chain", F.coalesce("_chain", "_id")), "chained")
+    else:
+        fields = fields.withColumn("_chain", F.col("_id"))
+    exact = F.coalesce(F.col("_name") == F.col("label_field"), F.lit(False))
+    stale = fields.groupBy("source_id").agg(F.first("series_id").alias("_series"), F.first("label_field").alias("_stated"), F.max(exact).alias("_there")).filter(~F.col("_there") & F.col("_stated").isNotNull())
+    once = fields.select("series_id", "_name", "_chain").distinct()
+    stale = stale.join(once, F.col("series_id").eqNullSafe(F.col("_series")) & (F.col("_name") == F.col("_stated"))).select("source_id", "_chain", F.lit(True).alias("_stale"))
+    fields = fields.join(stale, ["source_id", "_chain"], "left").withColumn("_stale", F.coalesce("_stale", F.lit(False)))
     known = quantity_of(F.col("_name"))
-    of_chain = fields.groupBy("_chain").agg(F.max_by(known, F.when(known.isNotNull(), F.struct("_last", "_id"))).alias("_q"), F.max_by("_name", F.struct("_last", "_id")).alias("_newest"))
-    fields = fields.join(of_chain, "_chain")
-    one = F.struct(alias_order(F.col("_name")).alias("order"), "_nth", F.col("_name").alias("name"), F.col("_q").alias("q"), F.col("_newest").alias("newest"))
-    listed = fields.groupBy("source_id").agg(F.sort_array(F.collect_list(one)).alias("_l"))
+    of_chain = fields.groupBy("_chain").agg(F.max(exact | F.col("_stale")).alias("_label"), F.max_by(known, F.when(known.isNotNull(), F.struct("_last", "_id"))).alias("_q"), F.max_by("_name", F.struct("_last", "_id")).alias("_newest"))
+    fields = fields.join(of_chain, "_chain").withColumn("_q", F.when(F.col("_label"), "tree_id").otherwise(F.col("_q")))
+    alike = F.coalesce(F.lower("_name") == F.lower("label_field"), F.lit(False))
+    rank = F.when(exact, 0).when(F.col("_stale"), 1).when(alike, 2).when(F.col("_label"), 3).when(F.col("_q") == "tree_id", 4)
+    best = F.when(rank.isNotNull(), F.struct(rank, alias_order(F.col("_name")), F.col("_nth")))
+    labels = fields.groupBy("source_id").agg(F.min_by("_name", best).alias("label"))
+    fields = fields.join(labels, "source_id").withColumn("_leads", F.coalesce(F.col("_name") == F.col("label"), F.lit(False)))
+    fields = fields.withColumn("_q", F.when(F.col("_leads"), "tree_id").otherwise(F.col("_q")))
+    one = F.struct((~F.col("_leads")).alias("rest"), alias_order(F.col("_name")).alias("order"), "_nth", F.col("_name").alias("name"), F.col("_q").alias("q"), F.col("_newest").alias("newest"))
+    listed = fields.groupBy("source_id", "label").agg(F.sort_array(F.collect_list(one)).alias("_l"))
     names = F.transform("_l", lambda g: g["name"])
     free = lambda f: ~F.array_contains(names, f["newest"]) & (F.size(F.filter("_l", lambda g: g["q"].isNull() & (g["newest"] == f["newest"]))) == 1)
     leads = lambda f, i: F.array_position(F.transform("_l", lambda g: g["q"]), f["q"]) == i + 1
     place = lambda f, i: F.when(leads(f, i), f["q"]).otherwise(F.concat(F.lit("?"), F.when(f["q"].isNull() & free(f), f["newest"]).otherwise(f["name"])))
-    return listed.select("source_id", F.map_from_entries(F.transform("_l", lambda f, i: F.struct(f["name"], place(f, i)))).alias("routes"))
+    return listed.select("source_id", "label", F.map_from_entries(F.transform("_l", lambda f, i: F.struct(f["name"], place(f, i)))).alias("routes"))
 
 
 def consistent_table(files: DataFrame, rows: DataFrame, changes: DataFrame | None = None, defaults: dict[str, object] | None = None) -> DataFrame:
-    """All ``rows`` under one schema: series, version, source, row number, ``COLUMNS``, and ``others`` (a map of what has no column).
+    """All ``rows`` under one schema: series, version, source, row number, ``label_field`` (the field that is ``tree_id`` in the row's file), ``COLUMNS``, and ``others`` (a map of what has no column).
 
     Each row goes through its own file's migration (``migrations``), composed from the recorded ``changes``; where there is none, or for names that a file doesn't list,
     a field's column is that of the quantity its name is known for. Values are cast with null for what doesn't fit; a column that a record has no field for
@@ -171,10 +196,7 @@ def consistent_table(files: DataFrame, rows: DataFrame, changes: DataFrame | Non
     """
     v = versions(files).select("source_id", "series_id", "version")
     table = rows.join(v, "source_id", "left").withColumn("_m", F.from_json("record", "map<string,string>"))
-    if changes is not None:
-        table = table.join(migrations(files, changes), "source_id", "left")
-    else:
-        table = table.withColumn("routes", F.lit(None).cast("map<string,string>"))
+    table = table.join(migrations(files, changes), "source_id", "left")
     keys = F.map_keys("_m")
 
     def target(key: Column) -> Column:
@@ -194,4 +216,4 @@ def consistent_table(files: DataFrame, rows: DataFrame, changes: DataFrame | Non
 
     spare = F.filter("_e", lambda e, i: e["q"].startswith("?") | (F.array_position(qs, e["q"]) != i + 1))
     rest = F.map_from_entries(F.transform(spare, lambda e: F.struct(F.when(e["q"].startswith("?"), F.substr(e["q"], F.lit(2))).otherwise(e["key"]), e["v"])))
-    return table.select("series_id", "version", "source_id", "row_no", *[column(q, kind) for q, kind in COLUMNS.items()], rest.alias("others"))
+    return table.select("series_id", "version", "source_id", "row_no", F.col("label").alias("label_field"), *[column(q, kind) for q, kind in COLUMNS.items()], rest.alias("others"))

@@ -9,7 +9,7 @@ from grovewise.operators.bad_rows import split_lines
 from grovewise.operators.heavy_keys import distinct_counts, join_counts
 from grovewise.operators.proximity import near
 from grovewise.operators.records import latest
-from grovewise.operators.schema_drift import consistent_table, schema_changes
+from grovewise.operators.schema_drift import consistent_table, file_changes, schema_changes
 from grovewise.operators.units import stem_diameters, tile_diameters
 from grovewise.plans.bounded import broadcast_bounded
 
@@ -59,11 +59,12 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p6_changes(spark: SparkSession, sf: str) -> DataFrame:
-    return schema_changes(table(spark, sf, "source_files"), table(spark, sf, "source_rows"))
+    files = table(spark, sf, "source_files")
+    return schema_changes(files, table(spark, sf, "source_rows")).unionByName(file_changes(files))
 
 
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
-    return p6_changes(spark, sf).select("source_id", "change_kind", "field").distinct()
+    return schema_changes(table(spark, sf, "source_files"), table(spark, sf, "source_rows")).select("source_id", "change_kind", "field").distinct()
 
 
 def p6_table(spark: SparkSession, sf: str) -> DataFrame:

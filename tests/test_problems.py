@@ -11,7 +11,7 @@ from grovewise.operators.bad_rows import split_lines
 from grovewise.operators.heavy_keys import distinct_counts, heavy_keys, join_counts
 from grovewise.operators.proximity import near, plan_quadtree, regions_of
 from grovewise.operators.records import latest
-from grovewise.operators.schema_drift import consistent_table, schema_changes, versions
+from grovewise.operators.schema_drift import consistent_table, file_changes, schema_changes, versions
 from grovewise.operators.units import infer_units, number_in, tile_diameters, unit_in_header, unit_in_remark, unit_in_value, unit_of_word
 
 
@@ -178,6 +178,16 @@ def test_two_fields_of_one_quantity_lose_nothing(spark):
         assert got == {1: (7, 3, {"label": "5", "cls": "2"}), 9: (6, None, {"id": "4"})}
 
 
+def test_label_fields_and_paths_are_reported_and_resolved(spark):
+    f, r = _named(spark, "a", "b", "c", "d", extra=(("treeID", "int"),))
+    said = spark.createDataFrame([(1, "a", "p/1"), (2, None, "p/1"), (3, "a", "q/1"), (4, "C", "q/1")], "source_id int, label_field string, path string")
+    f = f.join(said, "source_id")
+    got = sorted((x["source_id"], x["before_id"], x["change_kind"], x["field"], x["was"]) for x in file_changes(f.union(f)).collect())
+    assert got == [(2, 1, "relabelled", None, "a"), (3, 2, "moved", "q/1", "p/1"), (3, 2, "relabelled", "a", None), (4, 3, "relabelled", "C", "a")]
+    rows = consistent_table(f, r, schema_changes(f, r)).collect()
+    assert {(x["source_id"], x["label_field"]) for x in rows} == {(1, "a"), (2, "b"), (3, "c"), (4, "d")} and all(x["tree_id"] == x["row_no"] * 7 for x in rows)
+
+
 # -- rows that fail to parse ---------------------------------------------------
 
 LINES = [
