@@ -28,6 +28,12 @@ def fields_of(line: Column) -> Column:
     return F.transform(parts, lambda f: _trim(plain(f)))
 
 
+def opens_well(line: Column, n: int) -> Column:
+    """Whether the quoting of the first ``n`` fields holds and they end there, whatever follows."""
+    spaced = rf"\s*+(?:{_FIELD})\s*+"
+    return line.rlike(rf"^{spaced}(?:,{spaced}){{{n - 1}}}(?:,|$)")
+
+
 def _whole(f: Column) -> Column:
     return f.rlike("^[0-9]+$") & f.rlike("[1-9]")
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from grovewise.functions import classes, colours, geometry, labels, texts
 from grovewise.operators import edits, statistics
+from grovewise.operators.bad_rows import bare_line, fields_of, opens_well
 from grovewise.operators.neighbours import picked
 from grovewise.plans.bounded import broadcast_bounded
 from grovewise.queries.registry import G, P, Queries, given_points, points, rounded, table
@@ -286,9 +287,15 @@ def _(spark, sf):
 @query("flt18_usable_rows", """SELECT line_id, CAST(trim(f[2]) AS DOUBLE) AS x, CAST(trim(f[3]) AS DOUBLE) AS y FROM (SELECT line_id, string_split(rtrim(raw_line, chr(13)), ',') AS f FROM stem_csv_lines WHERE NOT contains(raw_line, chr(34)))
  WHERE coalesce(isfinite(TRY_CAST(trim(f[2]) AS DOUBLE)), false) AND coalesce(isfinite(TRY_CAST(trim(f[3]) AS DOUBLE)), false)""")
 def _(spark, sf):
-    f = F.split(F.regexp_replace("raw_line", "\r$", ""), ",", -1)
+    return usable_rows(table(spark, sf, "stem_csv_lines"))
+
+
+def usable_rows(lines):
+    """(line_id, x, y): the lines with coordinates, whatever stands after them; fields may be quoted. A quote that breaks the fields up to y leaves none, one further on doesn't matter."""
+    line = bare_line(F.col("raw_line"))
+    f = F.when(opens_well(line, 3), fields_of(line))
     number = lambda i: F.trim(F.get(f, i)).try_cast("double")
-    got = table(spark, sf, "stem_csv_lines").filter(~F.col("raw_line").contains('"')).select("line_id", number(1).alias("x"), number(2).alias("y"))
+    got = lines.select("line_id", number(1).alias("x"), number(2).alias("y"))
     return got.filter(F.col("x").isNotNull() & F.col("y").isNotNull() & ~F.isnan("x") & ~F.isnan("y") & (F.abs("x") < float("inf")) & (F.abs("y") < float("inf")))
 
 

@@ -217,3 +217,11 @@ def test_very_long_lines_and_no_lines(spark):
     assert {r["line_id"]: r["reason"] for r in failed.collect()} == {3: "wrong_columns", 4: "broken_quoting"}
     none = split_lines(spark.createDataFrame([], "line_id int, raw_line string"))
     assert none[0].count() == none[1].count() == 0
+
+
+def test_lines_with_coordinates_may_hold_quotes(spark):
+    from grovewise.queries.expressions import usable_rows
+
+    lines = ['7,1,2,0.2,oak\r', '"7","1.5"," -2e1 ","0","a, b"', '7,1,2,0.2,"oak, ""old"""', '7,1,2,0.2,"oak', '7,1,2,0.2,oak 12" girth', '"7,1,2,0.2,oak', '7,"1,2",3', '7,1,"2', '7,,2,0.2,"oak"', '7,nan,2,,', "7,1", None]
+    df = spark.createDataFrame(list(enumerate(lines)), "line_id int, raw_line string")
+    assert {r["line_id"]: (r["x"], r["y"]) for r in usable_rows(df).collect()} == {0: (1.0, 2.0), 1: (1.5, -20.0), 2: (1.0, 2.0), 3: (1.0, 2.0), 4: (1.0, 2.0)}
