@@ -2,141 +2,352 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+from dataclasses import dataclass
+from functools import lru_cache
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from grovewise.session import materialize
-
 #: Words of a seed, of the shortest stretch that counts, and one error is allowed in so many words.
 SEED, STRETCH, ONE_IN = 5, 14, 8
-#: Evaluation n-grams that may be broadcast; larger test sets are joined by a shuffle.
-SEEDS_BROADCAST = 2_000_000
+#: Characters of passages that are broadcast at once; larger test sets are searched for in blocks.
+BLOCK_CHARS = 8_000_000
+#: Characters of documents that are searched at once within a task, and pairs of like windows that are followed up at once.
+SLICE_CHARS, SLICE_HITS = 4_000_000, 1_000_000
 
-_TAG = r"</?[A-Za-z][^<>]{0,400}>"
-_BLOCK = r"(?i)<(?:/?(?:p|div|br|li|ul|ol|td|tr|th|table|h[1-6]|blockquote|pre|section|article)\b)[^<>]{0,400}>"
+_TAG = re.compile(r"</?[A-Za-z][^<>]{0,400}>")
+_BLOCK = re.compile(r"<(?:/?(?:p|div|br|li|ul|ol|td|tr|th|table|h[1-6]|blockquote|pre|section|article)\b)[^<>]{0,400}>", re.I)
+_BLANKS = re.compile(r"&(?:nbsp|#160|#xa0|ensp|emsp|thinsp);")
+_NOTHING = re.compile(r"&(?:shy|#173|zwnj|zwj);")
+_APOSTROPHES = re.compile(r"&(?:#39|#x27|apos|rsquo|lsquo|#8217|#8216);")
+_ENTITY = re.compile(r"&[A-Za-z#0-9]{2,8};")
+_BROKEN = re.compile(r"[-‐‑](?<=[^\W\d_].)[ \t]*\r?\n[ \t>|*#]*(?=[^\W\d_])")
+_SOFT = [0xAD, *range(0x200B, 0x200E), 0x2060, 0xFEFF]
+_JOINING = [ord(c) for c in "-‐‑'’"]
+_GONE = -(1 << 40)
 
 
-def normal_words(text: Column) -> Column:
-    """Lower-case words without markup, punctuation and line breaks; a word broken by a hyphen at a line's end is whole again.
+@lru_cache
+def _kinds() -> np.ndarray:
+    """For each character: 1 if it belongs to a word, 2 if it is left out, 3 if it is left out between two characters of a word, else 0."""
+    out = np.fromiter((unicodedata.category(chr(i))[0] in "LN" for i in range(0x110000)), dtype=np.uint8, count=0x110000)
+    out[_SOFT], out[_JOINING] = 2, 3
+    return out
+
+
+def _plain(text: str | None) -> str:
+    """Small letters without markup; a word broken by a hyphen at a line's end is whole again."""
+    t = text or ""
+    if "<" in t:
+        t = _TAG.sub("", _BLOCK.sub(" ", t))
+    if "&" in t:
+        t = _ENTITY.sub(" ", _APOSTROPHES.sub("'", _NOTHING.sub("", _BLANKS.sub(" ", t))))
+    if "\n" in t:
+        t = _BROKEN.sub("", t)
+    return (t if t.isascii() else unicodedata.normalize("NFC", t)).lower()
+
+
+def _characters(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(characters, whether each belongs to a word, text that each comes from) of plain texts, without what is left out."""
+    c = np.frombuffer("\n".join([*texts, ""]).encode("utf-32-le"), dtype=np.uint32)
+    owner = np.repeat(np.arange(len(texts)), [len(t) + 1 for t in texts])
+    kind = _kinds()[c]
+    for what in (2, 3):
+        out = np.flatnonzero(kind == what)
+        if what == 3 and len(out):
+            inner = (out > 0) & (out < len(c) - 1)
+            out = out[inner & (kind[out - 1] == 1) & (kind[np.minimum(out + 1, len(c) - 1)] == 1)]
+        if len(out):
+            c, owner, kind = np.delete(c, out), np.delete(owner, out), np.delete(kind, out)
+    return c, kind == 1, owner
+
+
+def _bounds(inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    edge = np.diff(inside.astype(np.int8), prepend=0, append=0)
+    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+
+
+def words_of(text: str | None) -> list[str]:
+    """The words of a text, as they are compared and counted here: small letters, without markup, punctuation and line breaks.
 
     Hyphens and apostrophes within a word vanish. A null text has no words.
     """
-    t = F.regexp_replace(text, _BLOCK, " ")
-    t = F.regexp_replace(t, _TAG, "")
-    t = F.regexp_replace(t, r"&(?:nbsp|#160|#xa0|ensp|emsp|thinsp);", " ")
-    t = F.regexp_replace(t, r"&(?:shy|#173|zwnj|zwj);|[­​-‍⁠﻿]", "")
-    t = F.regexp_replace(t, r"&(?:#39|#x27|apos|rsquo|lsquo|#8217|#8216);", "'")
-    t = F.regexp_replace(t, r"&[A-Za-z#0-9]{2,8};", " ")
-    t = F.regexp_replace(t, r"(?<=\p{L})[-‐‑][ \t]*\r?\n[ \t>|*#]*(?=\p{L})", "")
-    t = F.regexp_replace(t, r"(?<=[\p{L}\p{N}])[-‐‑'’](?=[\p{L}\p{N}])", "")
-    words = F.split(F.trim(F.regexp_replace(F.lower(t), r"[^\p{L}\p{N}]+", " ")), " ")
-    return F.when(text.isNull(), F.array().cast("array<string>")).otherwise(F.filter(words, lambda w: w != ""))
+    c, inside, _ = _characters([_plain(text)])
+    whole = c.tobytes().decode("utf-32-le")
+    return [whole[i:j] for i, j in zip(*_bounds(inside))]
 
 
-def seeds_of(words: str, n: int = SEED) -> Column:
-    """Array of hashes of all n-word windows, in order."""
-    last = F.size(words) - n
-    window = lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(n)])
-    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), window)).otherwise(F.array().cast("array<bigint>"))
+def normal_words(text: Column) -> Column:
+    """``words_of`` as a column."""
+    return F.pandas_udf(lambda s: pd.Series([words_of(t) for t in s], index=s.index, dtype=object), "array<string>")(text)
 
 
-def best_stretch(item: list[int], doc: np.ndarray, stretch: int = STRETCH, one_in: int = ONE_IN) -> tuple[int, int, int] | None:
-    """(words of the item's stretch, errors, where it ends in doc) of the longest stretch that counts, else None.
+def _hashed(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hash, text it comes from) of each word of the texts, in order."""
+    c, inside, owner = _characters([_plain(t) for t in texts])
+    start, end = _bounds(inside)
+    if not len(start):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    size = end - start
+    first = np.concatenate([[0], np.cumsum(size)[:-1]])
+    powers = np.multiply.accumulate(np.full(int(size.max()), 0x9E3779B97F4A7C15, dtype=np.uint64))
+    place = np.arange(int(size.sum())) - np.repeat(first, size)
+    h = np.add.reduceat((c[inside].astype(np.uint64) + np.uint64(1)) * powers[place], first)
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(29)), owner[start]
+
+
+def _windows(words: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, place of its first word) of all windows of ``n`` words within one text."""
+    count = len(words) - n + 1
+    if count <= 0:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    h = np.zeros(count, np.uint64)
+    for k in range(n):
+        h = h * np.uint64(0xBF58476D1CE4E5B9) + words[k : k + count]
+    at = np.flatnonzero(owner[:count] == owner[n - 1 :])
+    return h[at], at
+
+
+@dataclass(frozen=True)
+class TestSet:
+    """Passages as one run of hashed words, with all their windows sorted by hash."""
+
+    __test__ = False
+    words: np.ndarray  # of all passages, one behind another
+    begin: np.ndarray  # where each word's passage begins
+    end: np.ndarray  # and where it ends
+    passage: np.ndarray  # which passage each word belongs to
+    items: list[list]  # ids of the items that have each passage
+    seeds: np.ndarray  # distinct windows
+    first: np.ndarray  # where each window's places begin in ``places``
+    places: np.ndarray
+    filter: np.ndarray  # whether any window's hash ends in these bits
+    size: int  # words of a window
+
+    @staticmethod
+    def of(items: list[tuple], n: int, stretch: int) -> "TestSet":
+        words, owner = _hashed([p for _, p in items])
+        cuts = np.searchsorted(owner, np.arange(len(items) + 1))
+        same: dict[bytes, list] = {}
+        for k, (i, _) in enumerate(items):
+            if cuts[k + 1] - cuts[k] >= stretch:
+                same.setdefault(words[cuts[k] : cuts[k + 1]].tobytes(), []).append(i)
+        passages = [np.frombuffer(p, dtype=np.uint64) for p in same]
+        sizes = np.array([len(p) for p in passages], dtype=np.int64)
+        passage = np.repeat(np.arange(len(passages)), sizes)
+        words = np.concatenate(passages) if passages else np.zeros(0, np.uint64)
+        end = np.cumsum(sizes)
+        h, at = _windows(words, passage, n)
+        order = np.argsort(h, kind="stable")
+        seeds, first = np.unique(h[order], return_index=True)
+        mask = np.zeros(1 << 22, dtype=bool)
+        mask[seeds & np.uint64(len(mask) - 1)] = True
+        return TestSet(words, (end - sizes)[passage], end[passage], passage, list(same.values()), seeds, np.append(first, len(h)), at[order], mask, n)
+
+    def hits(self, words: np.ndarray, owner: np.ndarray):
+        """(places in the documents, places in the passages) of like windows, in lots of bounded size."""
+        h, at = _windows(words, owner, self.size)
+        maybe = self.filter[h & np.uint64(len(self.filter) - 1)]
+        h, at = h[maybe], at[maybe]
+        if not len(h) or not len(self.seeds):
+            return
+        k = np.minimum(np.searchsorted(self.seeds, h), len(self.seeds) - 1)
+        known = self.seeds[k] == h
+        k, at = k[known], at[known]
+        many = self.first[k + 1] - self.first[k]
+        lots = np.cumsum(many) // SLICE_HITS
+        for lot in np.unique(lots):
+            these = lots == lot
+            k_, many_ = k[these], many[these]
+            before = np.cumsum(many_) - many_
+            yield np.repeat(at[these], many_), self.places[np.repeat(self.first[k_] - before, many_) + np.arange(int(many_.sum()))]
+
+
+def _runs(p: np.ndarray, a: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Like windows that follow one another, as runs: (place in the documents, place in the passages, words)."""
+    order = np.lexsort((p, p - a))
+    p, a = p[order], a[order]
+    new = np.ones(len(p), dtype=bool)
+    new[1:] = (np.diff(p) != 1) | (np.diff(a) != 1)
+    start = np.flatnonzero(new)
+    return p[start], a[start], np.diff(np.append(start, len(p))) + n - 1
 
-    A stretch of the item's words in order counts if it has at least ``stretch`` words, its first and last word are there, and at most one in ``one_in`` is changed, added or left out. For each number of
-    errors the longest stretch that ends at each pair of places is carried forward (dynamic programming over the item's words, vectorised over the document's).
+
+def _reach(item: np.ndarray, doc: np.ndarray, a: np.ndarray, p: np.ndarray, a_end: np.ndarray, p_end: np.ndarray, errors: int) -> tuple[np.ndarray, np.ndarray]:
+    """How many words of the item follow on from each (a, p) with 0, 1, ... errors, and how many of the document, up to a last word that is alike.
+
+    For each number of errors the furthest place on each diagonal is kept: a changed word stays on the diagonal, a left out or an added one changes it. An end bought with more errors than words, behind
+    a longer row of errors, may be missed; a stretch without it is the better one.
+    """
+    far = np.full((2 * errors + 3, len(a)), _GONE, dtype=np.int64)  # diagonal -errors - 1 first
+    zero = errors + 1
+    gain, span = np.zeros((errors + 1, len(a)), dtype=np.int64), np.zeros((errors + 1, len(a)), dtype=np.int64)
+    for e in range(errors + 1):
+        before = far.copy()
+        if e:
+            gain[e], span[e] = gain[e - 1], span[e - 1]
+        for k in range(-e, e + 1):
+            row = zero + k
+            y = np.maximum(np.maximum(before[row] + 1, before[row + 1] + 1), before[row - 1]) if e else np.zeros(len(a), dtype=np.int64)
+            y = np.where((y < -k) | (a + y > a_end) | (p + y + k > p_end), _GONE, y)
+            start = y.copy()
+            live = np.flatnonzero(y >= 0)
+            while len(live):
+                i, d = a[live] + y[live], p[live] + y[live] + k
+                live = live[(i < a_end[live]) & (d < p_end[live])]
+                live = live[item[a[live] + y[live]] == doc[p[live] + y[live] + k]]
+                y[live] += 1
+            far[row] = np.maximum(y, before[row])
+            better = (y > start) & (y > gain[e])
+            gain[e][better], span[e][better] = y[better], y[better] + k
+    return gain, span
+
+
+def _longest(tests: TestSet, doc: np.ndarray, lo: np.ndarray, hi: np.ndarray, p: np.ndarray, a: np.ndarray, run: np.ndarray, errors: int, stretch: int, one_in: int):
+    """For each run the longest stretch around it that counts: (words, errors, first place in the documents, place behind its last); 0 words if none does.
+
+    ``lo`` and ``hi`` are the bounds of the run's document.
     """
-    n, errors = len(doc), len(item) // one_in
-    gone = -(10**6)
-    best = None
-    before = np.full((errors + 1, n + 1), gone)  # after the item's previous word
-    for word in item if n else ():
-        now = np.full((errors + 1, n + 1), gone)
-        same = doc == word
-        now[0, 1:] = np.where(same, np.maximum(before[0, :-1], 0) + 1, gone)
-        for e in range(1, errors + 1):
-            now[e, 1:] = np.where(same, before[e, :-1] + 1, before[e - 1, :-1] + 1)
-            np.maximum(now[e], before[e - 1] + 1, out=now[e])
-            np.maximum(now[e, 1:], now[e - 1, :-1], out=now[e, 1:])
-        for e in range(errors + 1):
-            held = np.where(same, np.maximum(before[e, :-1], 0 if e == 0 else gone) + 1, gone)  # ends with this word
-            at = int(held.argmax())
-            length = int(held[at])
-            if length >= max(stretch, one_in * e) and (best is None or length > best[0]):
-                best = (length, e, at + 1)
-        before = now
-    return best
+    m, n = len(tests.words), len(doc)
+    right, after = _reach(tests.words, doc, a + run, p + run, tests.end[a], hi, errors)
+    left, ahead = _reach(tests.words[::-1], doc[::-1], m - a, n - p, m - tests.begin[a], n - lo, errors)
+    out = [np.zeros(len(p), dtype=np.int64) for _ in range(4)]
+    for e in range(errors + 1):
+        for one in range(e + 1):
+            total = run + left[one] + right[e - one]
+            better = (total >= max(stretch, one_in * e)) & (total > out[0])
+            for o, v in zip(out, (total, np.full(len(p), e), p - ahead[one], p + run + after[e - one])):
+                o[better] = v[better]
+    return out
+
+
+def _stretches(tests: TestSet, words: np.ndarray, owner: np.ndarray, stretch: int, one_in: int) -> np.ndarray:
+    """Rows (document, passage, words, errors, first word, last word) of all stretches that count; none lies within another of its passage."""
+    cuts = np.searchsorted(owner, np.arange(int(owner[-1]) + 2)) if len(owner) else np.zeros(1, np.int64)
+    found = []
+    for p, a in tests.hits(words, owner):
+        p, a, run = _runs(p, a, tests.size)
+        lo, hi = cuts[owner[p]], cuts[owner[p] + 1]
+        # A stretch that holds no shorter one that counts has all its errors near its ends, so few that they are bounded.
+        few = 3 * (stretch - 1) // (one_in - 1)
+        counts = np.flatnonzero(_longest(tests, words, lo, hi, p, a, run, few, stretch, one_in)[0])
+        if not len(counts):
+            continue
+        p, a, run, lo, hi = (v[counts] for v in (p, a, run, lo, hi))
+        allowed = (tests.end[a] - tests.begin[a]) // one_in
+        for most in np.unique(allowed):
+            s = allowed == most
+            n, e, first, behind = _longest(tests, words, lo[s], hi[s], p[s], a[s], run[s], int(most), stretch, one_in)
+            found.append(np.stack([owner[p[s]], tests.passage[a[s]], n, e, first - lo[s], behind - lo[s] - 1], axis=1))
+    if not found:
+        return np.zeros((0, 6), dtype=np.int64)
+    rows = np.concatenate(found)
+    rows = rows[np.lexsort((rows[:, 3], -rows[:, 2], -rows[:, 5], rows[:, 4], rows[:, 1], rows[:, 0]))]
+    keep, group, reached = [], None, -1
+    for i, (d, k, _, _, first, last) in enumerate(rows.tolist()):
+        if (d, k) != group:
+            group, reached = (d, k), -1
+        if last > reached:
+            keep.append(i)
+            reached = last
+    return rows[keep]
+
+
+def best_stretch(item: list[int], doc: np.ndarray, stretch: int = STRETCH, one_in: int = ONE_IN) -> tuple[int, int, int] | None:
+    """(words of the item's stretch, errors, where it ends in doc) of the longest stretch that counts, else None; for one item and one document as numbers."""
+    n = _least_run(stretch, one_in)
+    words = np.array(item, dtype=np.int64).astype(np.uint64)
+    count = len(words)
+    h, at = _windows(words, np.zeros(count, np.int64), n)
+    order = np.argsort(h, kind="stable")
+    seeds, first = np.unique(h[order], return_index=True)
+    tests = TestSet(words, np.zeros(count, np.int64), np.full(count, count), np.zeros(count, np.int64), [[0]], seeds, np.append(first, len(h)), at[order], np.ones(1, bool), n)
+    got = _stretches(tests, np.array(doc, dtype=np.int64).astype(np.uint64), np.zeros(len(doc), np.int64), stretch, one_in)
+    return max(((int(w), int(e), int(last) + 1) for _, _, w, e, _, last in got), default=None)
+
+
+def _least_run(stretch: int, one_in: int) -> int:
+    """Words that the longest unbroken run of any stretch that counts has at least."""
+    return min(-(-(size - size // one_in) // (size // one_in + 1)) for size in range(stretch, stretch + one_in * 4))
 
 
 def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", passage: str = "passage", n: int = SEED, stretch: int = STRETCH, one_in: int = ONE_IN) -> DataFrame:
-    """(doc_id, item_id, words, errors, first_word, last_word): documents that hold a stretch of an item's passage, verified.
+    """(doc_id, item_id, words, errors, first_word, last_word): each stretch of an item's passage that a document holds, verified.
 
-    All windows of ``n`` words of every document are looked up in the broadcast set of the passages' windows. A stretch of 14 words or more with at most one error
-    in eight has an unbroken run of at least five words, so none is missed. Items that share a window enough to be possible are aligned word by word, in the span of
-    document words around its windows. Words are counted from 0 in the normalised text. Repeated document ids are taken apart by their texts' places;
-    null and empty texts leak nothing; passages under ``stretch`` words can't be found.
+    All windows of ``n`` words of every document are looked up in the broadcast set of the passages' windows, and each unbroken run of like windows is extended both ways word by word, with as many errors
+    as its passage allows; both ends of a stretch are alike. A stretch of 14 words or more with at most one error in eight has an unbroken run of at least five words, so none is missed; ``n`` may not be
+    larger than that. A document that holds a passage several times has a row for each; a stretch within another of the same item has none. It is a map over the documents, whole texts in bounded
+    slices, without a shuffle of texts. Passages are broadcast in blocks of ``BLOCK_CHARS`` characters; each block is a scan of its own. Words are counted from 0 (``words_of``) and compared by
+    64-bit hashes. Null and empty texts leak nothing; passages under ``stretch`` words can't hold a stretch (``short_items`` lists them). Repeated rows are reported once.
     """
+    if not 1 <= n <= _least_run(stretch, one_in):
+        raise ValueError(f"windows of {n} words would miss stretches: at most {_least_run(stretch, one_in)}")
     spark = documents.sparkSession
-    tests = items.select(F.col(item_id).alias("_item"), normal_words(F.col(passage)).alias("_pw")).filter(F.size("_pw") >= stretch)
-    tests = materialize(tests, "tests")
-    grams = tests.select("_item", F.posexplode(seeds_of("_pw", n)).alias("_at", "_seed"))
-    seeds = grams.groupBy("_seed").agg(F.collect_set("_item").alias("_items"))
-    seeds = seeds.hint("broadcast") if seeds.count() <= SEEDS_BROADCAST else seeds
-    docs = materialize(documents.filter(F.col(text).isNotNull()).select(F.col(doc_id).alias("_doc"), F.monotonically_increasing_id().alias("_row"), normal_words(F.col(text)).alias("_w")).filter(F.size("_w") >= stretch - stretch // one_in), "words")
-    hits = docs.select("_row", F.posexplode(seeds_of("_w", n)).alias("_pos", "_seed")).join(seeds, "_seed").select("_row", "_pos", F.explode("_items").alias("_item"))
-    # Windows of one item within reach of one another: at least two windows, unless a single one could do.
-    wide = F.max(F.size("_pw")).alias("m")
-    reach = (tests.agg(wide).first()["m"] or 0) * 2
-    near_hits = hits.groupBy("_row", "_item", F.floor(F.col("_pos") / F.lit(max(reach, 1))).alias("_zone")).agg(F.min("_pos").alias("_lo"), F.max("_pos").alias("_hi"), F.count_distinct("_pos").alias("_n"))
-    # A stretch may lie across the border of two zones, so each zone is aligned with the zone's own span widened by a passage on both sides.
-    spans = near_hits.join(docs, "_row").join(F.broadcast(tests) if tests.count() <= 200_000 else tests, "_item")
-    margin = F.size("_pw") + F.lit(stretch)
-    start = F.greatest(F.lit(0), F.col("_lo") - margin).cast("int")
-    spans = spans.select("_doc", "_item", "_pw", start.alias("_start"), F.slice("_w", start + 1, (F.col("_hi") + n + margin - start).cast("int")).alias("_span"))
-    shared = F.size(F.array_intersect("_pw", "_span"))
-    spans = spans.filter(shared >= F.least(F.lit(8), F.lit(stretch - stretch // one_in)))
-    kinds = dict(spans.dtypes)
-
-    def verify(batches):
-        for b in batches:
-            out = []
-            for d, i, pw, s, span in zip(*(b[c].to_pylist() for c in ("_doc", "_item", "_pw", "_start", "_span"))):
-                ids: dict[str, int] = {}
-                item = [ids.setdefault(w, len(ids)) for w in pw]
-                doc = np.array([ids.get(w, -1) for w in span])
-                if not _possible(item, doc, stretch, one_in):
-                    continue
-                if got := best_stretch(item, doc, stretch, one_in):
-                    out.append((d, i, got[0], got[1], s + max(0, got[2] - got[0]), s + got[2] - 1))
-            columns = list(zip(*out)) or [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [b["_doc"].type, b["_item"].type, *[pa.int32()] * 4])], ["doc_id", "item_id", "words", "errors", "first_word", "last_word"])
-
-    found = spans.mapInArrow(verify, f"doc_id {kinds['_doc']}, item_id {kinds['_item']}, words int, errors int, first_word int, last_word int")
-    best = F.max_by(F.struct("words", "errors", "first_word", "last_word"), F.struct("words", -F.col("errors"), -F.col("first_word"))).alias("b")
-    return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.*")
-
-
-def _possible(item: list[int], doc: np.ndarray, stretch: int, one_in: int) -> bool:
-    """Whether some span of doc as long as a shortest stretch holds enough of the item's words at all."""
-    known = (doc >= 0).astype(np.int64)
-    if len(known) == 0:
-        return False
-    width = stretch + stretch // one_in
-    total = np.concatenate([[0], np.cumsum(known)])
-    most = (total[np.minimum(np.arange(len(known)) + width, len(known))] - total[: len(known)]).max()
-    return bool(most >= stretch - stretch // one_in - 1)
+    given = items.filter(F.col(passage).isNotNull() & F.col(item_id).isNotNull()).select(F.col(item_id).alias("i"), F.col(passage).alias("p")).distinct()
+    blocks = max(1, -(-(given.agg(F.sum(F.length("p"))).first()[0] or 0) // BLOCK_CHARS))
+    docs = documents.filter(F.length(text) > 0).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    doc_kind, item_kind = dict(docs.dtypes)["doc_id"], dict(given.dtypes)["i"]
+    shape = f"doc_id {doc_kind}, item_id {item_kind}, words int, errors int, first_word int, last_word int"
+    item_type = given.limit(0).select("i").toArrow().schema.field("i").type
+    out = None
+    for block in range(blocks):
+        rows = [(r["i"], r["p"]) for r in given.filter(F.pmod(F.xxhash64("p"), F.lit(blocks)) == block).collect()]
+        tests = spark.sparkContext.broadcast(TestSet.of(rows, n, stretch))
+
+        def run(batches, tests=tests):
+            for b in batches:
+                for part in _slices(b):
+                    found = _stretches(tests.value, *_hashed(part["text"].to_pylist()), stretch, one_in)
+                    wide = [(*r, i) for r in found.tolist() for i in tests.value.items[r[1]]]
+                    ids = part["doc_id"].take(pa.array([r[0] for r in wide], pa.int64()))
+                    numbers = [pa.array([r[c] for r in wide], pa.int32()) for c in range(2, 6)]
+                    yield pa.RecordBatch.from_arrays([ids, pa.array([r[6] for r in wide], item_type), *numbers], ["doc_id", "item_id", "words", "errors", "first_word", "last_word"])
+
+        found = docs.mapInArrow(run, shape)
+        out = found if out is None else out.unionByName(found)
+    return out.distinct()
+
+
+def _slices(b: pa.RecordBatch):
+    """The batch in slices of about ``SLICE_CHARS``; a longer text is a slice of its own."""
+    sizes = np.cumsum([len(t) for t in b["text"].to_pylist()])
+    cuts = np.flatnonzero(np.diff(sizes // SLICE_CHARS, prepend=0)) if len(sizes) else []
+    for start, end in zip([0, *cuts], [*cuts, b.num_rows]):
+        if end > start:
+            yield b.slice(start, end - start)
+
+
+def short_items(items: DataFrame, item_id: str = "item_id", passage: str = "passage", stretch: int = STRETCH) -> DataFrame:
+    """(item_id, words) of the items that no document can be found to leak, as their passage is null or has under ``stretch`` words."""
+    return items.select(F.col(item_id).alias("item_id"), F.size(normal_words(F.col(passage))).alias("words")).filter(F.col("words") < stretch)
 
 
 def without_leaks(documents: DataFrame, found: DataFrame, doc_id: str = "doc_id", text: str = "text", whole: bool = True) -> DataFrame:
     """Documents without those that leak, or (``whole`` false) with the normalised words of the leaking spans taken out, as ``text``.
 
-    Spans that overlap are taken out once. Documents that leak nothing keep their text unchanged.
+    Spans that overlap are taken out once. Documents that leak nothing keep their text unchanged. Ids must be unique where spans are taken out.
     """
     if whole:
         return documents.join(found.select(F.col("doc_id").alias(doc_id)).distinct(), doc_id, "left_anti")
+
+    @F.pandas_udf("string")
+    def rest(texts: pd.Series, spans: pd.Series) -> pd.Series:
+        out = []
+        for t, own in zip(texts, spans):
+            words = words_of(t)
+            keep = np.ones(len(words), dtype=bool)
+            for s in own:
+                keep[s["first_word"] : s["last_word"] + 1] = False
+            out.append(" ".join(w for w, k in zip(words, keep) if k))
+        return pd.Series(out, dtype=object)
+
     spans = found.groupBy(F.col("doc_id").alias(doc_id)).agg(F.collect_set(F.struct("first_word", "last_word")).alias("_spans"))
-    words = normal_words(F.col(text))
-    kept = F.filter(words, lambda w, i: ~F.exists("_spans", lambda s: (i >= s["first_word"]) & (i <= s["last_word"])))
-    return documents.join(spans, doc_id, "left").withColumn(text, F.when(F.col("_spans").isNull(), F.col(text)).otherwise(F.array_join(kept, " "))).drop("_spans")
+    order = documents.columns
+    cut = documents.join(spans, doc_id).withColumn(text, rest(F.col(text), F.col("_spans"))).select(order)
+    return documents.join(found.select(F.col("doc_id").alias(doc_id)).distinct(), doc_id, "left_anti").select(order).unionByName(cut)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grovewise.llm.contamination import leaks
+from grovewise.llm.contamination import leaks, without_leaks
 from grovewise.llm.linkage import link
 from grovewise.llm.packing import CAPACITY, fill_report, packed_documents
 from grovewise.llm.percentiles import combine, exact_percentiles, summaries
@@ -74,6 +74,12 @@ def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     return p9_leaks(spark, sf).select("doc_id", "item_id").distinct()
 
 
+def p9_clean(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents, without the words of the stretches that they leak."""
+    documents = table(spark, sf, "documents").select("doc_id", "text")
+    return without_leaks(documents, leaks(documents, table(spark, sf, "eval_items")), whole=False)
+
+
 def p10_subjects(spark: SparkSession, sf: str) -> DataFrame:
     return subjects_of(table(spark, sf, "documents"), table(spark, sf, "subject_examples"))
 
@@ -86,7 +92,7 @@ def p10_composition(spark: SparkSession, sf: str) -> DataFrame:
     return composition(p10_subjects(spark, sf), table(spark, sf, "documents")).withColumn("share", F.round("share", 6))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_percentiles, p1_combined, p2_found, p2_links, p8_found, p8_packed, p8_fill, p9_found, p9_leaks, p10_found, p10_subjects, p10_composition)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_percentiles, p1_combined, p2_found, p2_links, p8_found, p8_packed, p8_fill, p9_found, p9_leaks, p9_clean, p10_found, p10_subjects, p10_composition)}
 
 _DISTINCT = "(SELECT DISTINCT tree_id, point_id, x, y, z FROM points WHERE tree_id > 0)"
 SQL = {

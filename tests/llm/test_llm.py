@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from grovewise.llm.contamination import best_stretch, leaks, normal_words, without_leaks
+from grovewise.llm.contamination import best_stretch, leaks, normal_words, short_items, without_leaks, words_of
 from grovewise.llm.linkage import LinkSettings, candidate_pairs, fit, link, one_to_one, survey_shifts
 from grovewise.llm.packing import CAPACITY, fill_report, pack, packed_documents, sweep, token_counts
 from grovewise.llm.percentiles import combine, exact_percentiles, summaries
@@ -230,6 +230,42 @@ def test_leaks_in_all_disguises(spark):
     assert leaks(df.limit(0), items).count() == 0 and leaks(df, items.limit(0)).count() == 0
 
 
+def test_leaks_of_repeated_words_and_repeated_passages(spark):
+    few = "a b a b a c a b a b a c a b a b a"
+    long = " ".join(f"w{i % 97}x{i % 31}" for i in range(400))
+    docs = {1: "so " + few + " it is", 2: "one " + PASSAGE + " two " + PASSAGE.upper() + " three", 3: " ".join([PASSAGE] * 300), 4: long + " and " + long, 5: "a b a b a c a b a"}
+    df = spark.createDataFrame([*docs.items(), (1, docs[1])], "doc_id long, text string")
+    items = spark.createDataFrame([("few", few), ("p", PASSAGE), ("again", PASSAGE.lower()), ("long", long), ("short", "under fourteen words"), ("none", None), ("few", few)], "item_id string, passage string")
+    got = leaks(df, items)
+    rows = got.toPandas()
+    assert {(d, i) for d, i in zip(rows.doc_id, rows.item_id)} == {(1, "few"), (2, "p"), (2, "again"), (3, "p"), (3, "again"), (4, "long")}
+    size = len(words_of(PASSAGE))
+    assert sorted(rows[(rows.doc_id == 2) & (rows.item_id == "p")].first_word) == [1, size + 2]
+    assert len(rows[(rows.doc_id == 3) & (rows.item_id == "p")]) == 300 and sorted(rows[rows.doc_id == 4].words) == [400, 400]
+    cut = {r["doc_id"]: r["text"] for r in without_leaks(df.filter("doc_id > 1"), got, whole=False).collect()}
+    assert cut == {2: "one two three", 3: "", 4: "and", 5: docs[5]}
+    assert sorted((r["item_id"], r["words"]) for r in short_items(items).collect()) == [("none", 0), ("short", 3)]
+    with pytest.raises(ValueError):
+        leaks(df, items, n=6)
+
+
+def test_blocks_of_passages_and_slices_of_texts_change_nothing(spark, monkeypatch):
+    from grovewise.llm import contamination
+
+    rng = random.Random(9)
+    passages = [" ".join(rng.choice("oak elm fir ash yew bay box fig".split()) for _ in range(30)) for _ in range(12)]
+    items = spark.createDataFrame(list(enumerate(passages)), "item_id int, passage string")
+    df = spark.createDataFrame([(i, "x " + " ".join(rng.sample(passages, 3)) + " y") for i in range(40)], "doc_id int, text string")
+    whole = sorted(map(tuple, leaks(df, items).collect()))
+    monkeypatch.setattr(contamination, "BLOCK_CHARS", 300)
+    assert sorted(map(tuple, leaks(df, items).collect())) == whole and len(whole) >= 120
+    tests = contamination.TestSet.of(list(enumerate(passages)), 5, 14)
+    words, owner = contamination._hashed([r["text"] for r in df.collect()])
+    at_once = contamination._stretches(tests, words, owner, 14, 8).tolist()
+    monkeypatch.setattr(contamination, "SLICE_HITS", 50)
+    assert contamination._stretches(tests, words, owner, 14, 8).tolist() == at_once
+
+
 def test_words_without_markup(spark):
     one = spark.createDataFrame([("A&nbsp;tree&#39;s <em>up</em>per-stem<br>is  wide，very.",), (None,)], "t string").select(normal_words(F.col("t"))).collect()
     assert one[0][0] == ["a", "trees", "upperstem", "is", "wide", "very"] and one[1][0] == []
