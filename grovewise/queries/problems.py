@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from grovewise.operators.bad_rows import split_lines
 from grovewise.operators.heavy_keys import distinct_counts, join_counts
-from grovewise.operators.proximity import near
+from grovewise.operators.proximity import near, regions_of
 from grovewise.operators.records import latest
 from grovewise.operators.schema_drift import consistent_table, file_changes, schema_changes
 from grovewise.operators.units import stem_diameters, tile_diameters
@@ -37,6 +37,16 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return found[0].unionByName(found[1]).distinct()
 
 
+def p3_regions(spark: SparkSession, sf: str) -> DataFrame:
+    """Stems within the boxes of saved trees, in the world frame."""
+    clouds = table(spark, sf, "clouds")
+    stems = latest(table(spark, sf, "stems").select("stem_uid", "received_at", "x", "y"), ["stem_uid"], ["received_at"])
+    box = _world(_world(records_in_force(spark, sf), clouds, F.col("lo_x"), F.col("lo_y")).withColumnsRenamed({"wx": "x0", "wy": "y0"}), clouds, F.col("hi_x"), F.col("hi_y"))
+    corner = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
+    rings = box.select(F.struct("cloud_id", "tree_id").alias("box"), F.array(corner("x0", "y0"), corner("wx", "y0"), corner("wx", "wy"), corner("x0", "wy")).alias("ring"))
+    return regions_of(stems, "stem_uid", rings, "box", "ring").select(F.col("point_id").alias("stem_uid"), "region_id.cloud_id", "region_id.tree_id").distinct()
+
+
 def p4_label_counts(spark: SparkSession, sf: str) -> DataFrame:
     return distinct_counts(table(spark, sf, "points"), "tree_id", "point_id", "points")
 
@@ -80,7 +90,7 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return split_lines(table(spark, sf, "stem_csv_lines"))[1].select("line_id", "reason")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p4_found, p4_label_counts, p5_found, p5_diameters, p6_found, p6_changes, p6_table, p7_found, p7_rows)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_regions, p4_found, p4_label_counts, p5_found, p5_diameters, p6_found, p6_changes, p6_table, p7_found, p7_rows)}
 
 _IN_FORCE = """(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cloud_id, tree_id ORDER BY saved_at DESC NULLS LAST, received_at DESC NULLS LAST) AS rn
  FROM tree_records) WHERE rn = 1)"""
@@ -108,6 +118,9 @@ SQL = {
  tc AS (SELECT *, CAST(floor(wx / 2) AS BIGINT) AS cx, CAST(floor(wy / 2) AS BIGINT) AS cy FROM t)
  SELECT DISTINCT 'point' AS near_kind, stem_uid, point_id AS other_id FROM sc JOIN pc USING (cx, cy) WHERE sqrt((x - wx) * (x - wx) + (y - wy) * (y - wy)) <= 0.3
  UNION SELECT DISTINCT 'tree', stem_uid, CAST(tree_id AS BIGINT) FROM sc JOIN tc USING (cx, cy) WHERE sqrt((x - wx) * (x - wx) + (y - wy) * (y - wy)) <= 2""",
+    "p3_regions": f"""WITH s AS (SELECT DISTINCT stem_uid, x, y FROM stems WHERE x IS NOT NULL AND y IS NOT NULL),
+ b AS (SELECT r.cloud_id, tree_id, lo_x + shift_x AS x0, lo_y + shift_y AS y0, hi_x + shift_x AS x1, hi_y + shift_y AS y1 FROM {_IN_FORCE} r JOIN clouds USING (cloud_id))
+ SELECT DISTINCT stem_uid, cloud_id, tree_id FROM s JOIN b ON x >= least(x0, x1) AND x < greatest(x0, x1) AND y >= least(y0, y1) AND y < greatest(y0, y1)""",
     "p4_label_counts": f"SELECT * FROM {_COUNTS}",
     "p4_found": f"""SELECT s.tree_id FROM (SELECT tree_id, coalesce(sum(count), 0) AS saved FROM {_IN_FORCE} GROUP BY tree_id) s
  LEFT JOIN {_COUNTS} c ON c.tree_id = s.tree_id WHERE saved <> coalesce(points, 0)""",

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from grovewise.operators.bad_rows import split_lines
 from grovewise.operators.heavy_keys import distinct_counts, heavy_keys, join_counts
 from grovewise.operators.proximity import near, plan_quadtree, regions_of
+from grovewise.plans.quadtree import RTree
 from grovewise.operators.records import latest
 from grovewise.operators.schema_drift import consistent_table, file_changes, schema_changes, versions
 from grovewise.operators.units import infer_units, number_in, tile_diameters, unit_in_header, unit_in_remark, unit_in_value, unit_of_word
@@ -52,6 +53,29 @@ def test_near_equals_comparing_all(spark, leaf_rows):
         assert plan_quadtree(o, "x", "y", 20).shards.max() > 1
 
 
+def test_many_queries_of_one_place_are_spread(spark):
+    rng = np.random.default_rng(7)
+    others = np.concatenate([rng.uniform(-10, 10, (400, 2)), np.full((90, 2), 2.0)])
+    queries = np.concatenate([np.full((300, 2), 2.0), rng.uniform(-10, 10, (20, 2))])
+    o = spark.createDataFrame(pd.DataFrame(others, columns=["x", "y"]).assign(id=range(len(others))))
+    q = spark.createDataFrame(pd.DataFrame(queries, columns=["x", "y"]).assign(id=range(len(queries))))
+    tree = plan_quadtree(o, "x", "y", 40, queries=q, radius=0.5)
+    hot = tree.leaf_of(np.array([2.0]), np.array([2.0]))[0]
+    assert tree.asked[hot] >= 7 and tree.shards[hot] >= 3
+    got = sorted((r["query_id"], r["other_id"]) for r in near(q, "id", o, "id", 0.5, tree=tree).collect())
+    assert got == sorted((i, j) for i, a in enumerate(queries) for j, b in enumerate(others) if math.hypot(*(a - b)) <= 0.5)
+
+
+def test_lots_of_probes_give_all_overlaps():
+    rng = np.random.default_rng(8)
+    xy, lo = rng.uniform(0, 1, (500, 2)), rng.uniform(0, 1, (200, 2))
+    tree = RTree(xy[:, 0], xy[:, 1], xy[:, 0], xy[:, 1])
+    boxes = lo[:, 0], lo[:, 1], lo[:, 0] + 0.4, lo[:, 1] + 0.4
+    lots = list(tree.probe_lots(*boxes, most=300))
+    whole = tree.probe(*boxes)
+    assert len(lots) > 20 and sorted(zip(*(np.concatenate(v) for v in zip(*lots)))) == sorted(zip(*whole))
+
+
 def test_near_with_nulls_and_empty_sides(spark):
     o = spark.createDataFrame([(1, 0.0, 0.0), (2, None, 0.0), (3, float("nan"), 1.0)], "id int, x double, y double")
     q = spark.createDataFrame([(9, 0.0, 0.5), (8, None, None)], "id int, x double, y double")
