@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from grovewise.functions.labels import is_tree
@@ -12,6 +12,8 @@ from grovewise.plans.grid import cell_names, with_cells, with_cells_around
 from grovewise.session import materialize
 
 AXES = ("x", "y", "z")
+#: Searches in cells before the boxes are asked, and how much wider each is than the one before.
+WIDENINGS, WIDER = 3, 4.0
 
 
 def _apart(a: str, b: str, axes: Sequence[str] = AXES) -> Column:
@@ -45,53 +47,102 @@ def pairs_within(points: DataFrame, eps: float, keys: Sequence[str] = (), ident:
 def _all_given(axes: Sequence[str]) -> Column:
     out = F.lit(True)
     for c in axes:
-        out = out & F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
+        out = out & F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) & (F.abs(F.col(c).cast("double")) < float("inf"))
     return out
 
 
-def nearest(queries: DataFrame, others: DataFrame, start: float, query_id: str, other_id: str, keys: Sequence[str] = (), axes: Sequence[str] = AXES, most: float | None = None, exclude_same: bool = False, grow: float = 4.0) -> DataFrame:
+def nearest(queries: DataFrame, others: DataFrame, start: float, query_id: str, other_id: str, keys: Sequence[str] = (), axes: Sequence[str] = AXES, most: float | None = None, exclude_same: bool = False) -> DataFrame:
     """(query_id, other_id, distance): the nearest other point with equal keys; ties go to the smallest other_id.
 
-    Cells of edge ``start`` are searched first; what has no hit within the edge goes on with wider cells, until the cells are as wide as the data: only stragglers, far from everything, get
-    there. With ``most`` one search with cells of that edge decides, and a hit is strictly nearer than it. ``exclude_same`` leaves out the other with the query's own id. Queries without any other
-    of their keys have no row.
+    Others within ``start`` are searched for in cells of that edge, what has none there in wider cells, for a few rounds. What is left, points far from everything, goes down a pyramid of boxes around the others
+    (``_nearest_by_boxes``), so no step compares it with all others. With ``most`` one search with cells of that edge decides, and a hit is strictly nearer than it. ``exclude_same`` leaves out the other with
+    the query's own id; it takes both sides for points of one table. Queries without any other of their keys have no row; null, NaN and infinite coordinates are left out. Ids must be unique within keys.
     """
     ok = _all_given(axes)
     left = _renamed(queries.filter(ok), "q_", [*keys, query_id, *axes])
     right = _renamed(others.filter(ok), "o_", [*keys, other_id, *axes])
 
-    def search(left: DataFrame, edge: float, last: bool) -> DataFrame:
+    def within(left: DataFrame, edge: float) -> DataFrame:
         a, b = with_cells(left, [f"q_{c}" for c in axes], edge), with_cells_around(right, [f"o_{c}" for c in axes], edge)
         on = [a[c] == b[c] for c in cell_names(len(axes))] + [a[f"q_{k}"].eqNullSafe(b[f"o_{k}"]) for k in keys]
         if exclude_same:
             on.append(F.col(f"q_{query_id}") != F.col(f"o_{other_id}"))
         hit = a.join(b, on).withColumn("distance", _apart("q_", "o_", axes))
-        if most is not None:
-            hit = hit.filter(F.col("distance") < most)
-        elif not last:
-            hit = hit.filter(F.col("distance") <= edge)
-        best = hit.groupBy(F.col(f"q_{query_id}").alias(query_id)).agg(F.min(F.struct("distance", F.col(f"o_{other_id}").alias("o"))).alias("b"))
-        return best.select(query_id, F.col("b.o").alias(other_id), F.col("b.distance").alias("distance"))
+        return _best_of(hit.filter(F.col("distance") < most if most is not None else F.col("distance") <= edge), query_id, other_id)
 
     if most is not None:
-        return search(left, most, True)
-    found, edge, wide = None, start, None
-    while True:
-        last = wide is not None and edge >= wide
-        best = materialize(search(left, edge, last), "nearest")
+        return within(left, most)
+    found = None
+    for widening in range(WIDENINGS):
+        best = materialize(within(left, start * WIDER**widening), "nearest")
         found = best if found is None else found.unionByName(best)
-        if last:
-            return found
         left = materialize(left.join(best.select(F.col(query_id).alias(f"q_{query_id}")), f"q_{query_id}", "left_anti"), "far")
         if left.isEmpty():
             return found
-        if wide is None:
-            ends = right.agg(*[f(F.col(f"o_{c}").cast("double")).alias(f"{n}{c}") for n, f in (("l", F.min), ("h", F.max)) for c in axes]).first()
-            own = left.agg(*[f(F.col(f"q_{c}").cast("double")).alias(f"{n}{c}") for n, f in (("l", F.min), ("h", F.max)) for c in axes]).first()
-            if ends[0] is None:
-                return found
-            wide = max(max(ends[f"h{c}"], own[f"h{c}"]) - min(ends[f"l{c}"], own[f"l{c}"]) for c in axes)
-        edge *= grow
+    return found.unionByName(_nearest_by_boxes(left, right, start * WIDER, query_id, other_id, keys, axes, exclude_same))
+
+
+def _best_of(hit: DataFrame, query_id: str, other_id: str) -> DataFrame:
+    best = hit.groupBy(F.col(f"q_{query_id}").alias(query_id)).agg(F.min(F.struct("distance", F.col(f"o_{other_id}").alias("o"))).alias("b"))
+    return best.select(query_id, F.col("b.o").alias(other_id), F.col("b.distance").alias("distance"))
+
+
+#: Edges of a level's cells, in edges of the level below.
+_FANOUT = 2.0
+
+
+def _nearest_by_boxes(left: DataFrame, right: DataFrame, start: float, query_id: str, other_id: str, keys: Sequence[str], axes: Sequence[str], exclude_same: bool) -> DataFrame:
+    """``nearest`` without a bound on the distance.
+
+    The others are summed up as boxes of occupied cells, level upon level, until a few cells span them. Each query starts with the cells of the top level and goes down: of the cells it has, only those stay whose box
+    is no farther than the farthest corner of some box that surely holds another point. So it meets a bounded number of boxes on each level, and at last the points of a few cells.
+    """
+    ends = right.agg(*[f(F.col(f"o_{c}").cast("double")) for f in (F.min, F.max) for c in axes]).first()
+    n = len(axes)
+    if ends[0] is None:
+        return right.select(F.col(f"o_{other_id}").alias(query_id), F.col(f"o_{other_id}").alias(other_id), F.lit(0.0).alias("distance")).limit(0).join(left.select(F.col(f"q_{query_id}").alias("_q")), F.lit(False)).select(F.col("_q").alias(query_id), other_id, "distance")
+    wide = max(ends[n + k] - ends[k] for k in range(n))
+    levels = 1
+    while start * _FANOUT**levels < wide:
+        levels += 1
+    cell = lambda c, level: F.floor(F.col(c).cast("double") / (start * _FANOUT**level))
+    okeys = [f"o_{k}" for k in keys]
+    spot = lambda level: [f"_{level}_{c}" for c in axes]
+    lows, highs = [f"_l{c}" for c in axes], [f"_h{c}" for c in axes]
+    placed = right.select("*", *[cell(f"o_{c}", 0).alias(name) for c, name in zip(axes, spot(0))])
+    boxes = {0: materialize(placed.groupBy(*okeys, *spot(0)).agg(*[F.min(F.col(f"o_{c}").cast("double")).alias(m) for c, m in zip(axes, lows)], *[F.max(F.col(f"o_{c}").cast("double")).alias(m) for c, m in zip(axes, highs)], F.count("*").alias("_n")), "boxes")}
+    for level in range(1, levels + 1):
+        up = boxes[level - 1].select("*", *[cell(m, level).alias(name) for m, name in zip(lows, spot(level))])
+        boxes[level] = up.groupBy(*okeys, *spot(level)).agg(*[F.min(m).alias(m) for m in lows], *[F.max(m).alias(m) for m in highs], F.sum("_n").alias("_n"))
+    top = boxes[levels].select(*okeys, *spot(levels), *lows, *highs, "_n")
+    # The top level has at most two cells along each axis for each set of keys, so without keys they are a handful of literals.
+    if keys:
+        asked = left.join(top, [left[f"q_{k}"].eqNullSafe(top[f"o_{k}"]) for k in keys])
+    else:
+        few = F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in r.asDict().items()]) for r in top.collect()])
+        asked = left.select("*", F.explode(few).alias("_top")).select(*left.columns, "_top.*")
+    for level in range(levels, -1, -1):
+        squares = lambda far: F.sqrt(sum((far(F.col(f"q_{c}").cast("double"), F.col(lo), F.col(hi)) ** 2 for c, lo, hi in zip(axes, lows, highs)), F.lit(0.0)))
+        least = squares(lambda q, lo, hi: F.greatest(lo - q, q - hi, F.lit(0.0)))
+        most = squares(lambda q, lo, hi: F.greatest(F.abs(q - lo), F.abs(q - hi)))
+        at_home = F.lit(True)
+        for c, name in zip(axes, spot(level)):
+            at_home = at_home & (cell(f"q_{c}", level) == F.col(name))
+        others = F.col("_n") - F.when(at_home, 1).otherwise(0) if exclude_same else F.col("_n")
+        bound = F.min(F.when(others > 0, most)).over(Window.partitionBy(f"q_{query_id}"))
+        kept = asked.select("*", least.alias("_least"), bound.alias("_bound")).filter(F.col("_least") <= F.coalesce("_bound", F.lit(float("inf"))) * (1 + 1e-12))
+        kept = kept.select(*[c for c in left.columns], *okeys, *spot(level))
+        if level == 0:
+            below = placed.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(okeys)], *[F.col(s).alias(f"_p{s}") for s in spot(0)], *[c for c in right.columns if c not in okeys])
+        else:
+            lower = boxes[level - 1]
+            below = lower.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(okeys)], *[cell(m, level).alias(f"_p{s}") for m, s in zip(lows, spot(level))], *spot(level - 1), *lows, *highs, "_n")
+        on = [F.col(s) == F.col(f"_p{s}") for s in spot(level)] + [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(okeys)]
+        asked = kept.join(below, on).drop(*[f"_p{s}" for s in spot(level)], *[f"_k{i}" for i in range(len(okeys))], *spot(level))
+    hit = asked.withColumn("distance", _apart("q_", "o_", axes))
+    if exclude_same:
+        hit = hit.filter(F.col(f"q_{query_id}") != F.col(f"o_{other_id}"))
+    return _best_of(hit, query_id, other_id)
 
 
 def neighbour_trees(points: DataFrame, tree: int, reach: float, box: Sequence[float] | None = None) -> DataFrame:
