@@ -204,6 +204,27 @@ def test_components_equal_union_find(spark, exact):
     assert components.components_of(cloud(spark, xyz, 7).limit(0), 0.2, exact=exact).count() == 0
 
 
+@pytest.mark.parametrize("block_rows", [10, 50_000])
+def test_components_across_blocks_layers_and_keys(spark, block_rows):
+    rng = np.random.default_rng(15)
+    walk = np.cumsum(rng.normal(0, 0.09, (400, 3)), axis=0)
+    xyz = np.concatenate([walk, rng.uniform(-4, 4, (300, 3)), np.column_stack([rng.normal(0, 0.02, (150, 2)), np.arange(150) * 0.3]), np.full((40, 3), 1.0)]).astype("f4").astype("f8")
+    tree = rng.integers(1, 3, len(xyz))
+    df = cloud(spark, xyz, tree, first=1000)
+    df = df.withColumn("tree_id", F.when(F.col("tree_id") == 2, F.col("tree_id"))).unionByName(spark.createDataFrame([(1, None, 1.0, 1.0, 1), (2, float("nan"), 1.0, 1.0, 1), (3, float("inf"), 1.0, 1.0, 1)], POINTS))
+    got = {r["point_id"]: r["component"] for r in components.components_of(df, 0.31, block_rows=block_rows).collect()}
+    want = {}
+    for t in (1, 2):
+        at = np.flatnonzero(tree == t)
+        own = _components(xyz[at], 0.31)
+        want |= {1000 + int(at[i]): 1000 + int(at[r]) for i, r in enumerate(own)}
+    assert got == want
+    split = {r["point_id"]: r["component"] for r in components.components_of(df, 0.31, exact=False, block_rows=block_rows).collect()}
+    assert set(split) == set(want) and all(want[i] == want[split[i]] for i in split)
+    alike = {r["point_id"]: r["component"] for r in components.components_of(df, 0.0, block_rows=block_rows).collect()}
+    assert len(alike) == len(want) and len(set(alike.values())) == len(np.unique(np.column_stack([xyz, tree]), axis=0))
+
+
 def test_patch_and_gap_ladder(spark):
     blob = [(k % 5 * 0.01, k // 5 * 0.01, 0.0) for k in range(20)]
     xyz = blob + [(x + 0.09, y, z) for x, y, z in blob] + [(5.0, 5, 5)]
