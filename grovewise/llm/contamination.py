@@ -2,104 +2,24 @@
 
 from __future__ import annotations
 
-import re
-import unicodedata
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from grovewise.llm.words import hashed, normal_words, slices, words_of
+
 #: Words of a seed, of the shortest stretch that counts, and one error is allowed in so many words.
 SEED, STRETCH, ONE_IN = 5, 14, 8
 #: Characters of passages that are broadcast at once; larger test sets are searched for in blocks.
 BLOCK_CHARS = 8_000_000
-#: Characters of documents that are searched at once within a task, and pairs of like windows that are followed up at once.
-SLICE_CHARS, SLICE_HITS = 4_000_000, 1_000_000
-
-_TAG = re.compile(r"</?[A-Za-z][^<>]{0,400}>")
-_BLOCK = re.compile(r"<(?:/?(?:p|div|br|li|ul|ol|td|tr|th|table|h[1-6]|blockquote|pre|section|article)\b)[^<>]{0,400}>", re.I)
-_BLANKS = re.compile(r"&(?:nbsp|#160|#xa0|ensp|emsp|thinsp);")
-_NOTHING = re.compile(r"&(?:shy|#173|zwnj|zwj);")
-_APOSTROPHES = re.compile(r"&(?:#39|#x27|apos|rsquo|lsquo|#8217|#8216);")
-_ENTITY = re.compile(r"&[A-Za-z#0-9]{2,8};")
-_BROKEN = re.compile(r"[-‐‑](?<=[^\W\d_].)[ \t]*\r?\n[ \t>|*#]*(?=[^\W\d_])")
-_SOFT = [0xAD, *range(0x200B, 0x200E), 0x2060, 0xFEFF]
-_JOINING = [ord(c) for c in "-‐‑'’"]
-_GONE = -(1 << 40)
-
-
-@lru_cache
-def _kinds() -> np.ndarray:
-    """For each character: 1 if it belongs to a word, 2 if it is left out, 3 if it is left out between two characters of a word, else 0."""
-    out = np.fromiter((unicodedata.category(chr(i))[0] in "LN" for i in range(0x110000)), dtype=np.uint8, count=0x110000)
-    out[_SOFT], out[_JOINING] = 2, 3
-    return out
-
-
-def _plain(text: str | None) -> str:
-    """Small letters without markup; a word broken by a hyphen at a line's end is whole again."""
-    t = text or ""
-    if "<" in t:
-        t = _TAG.sub("", _BLOCK.sub(" ", t))
-    if "&" in t:
-        t = _ENTITY.sub(" ", _APOSTROPHES.sub("'", _NOTHING.sub("", _BLANKS.sub(" ", t))))
-    if "\n" in t:
-        t = _BROKEN.sub("", t)
-    return (t if t.isascii() else unicodedata.normalize("NFC", t)).lower()
-
-
-def _characters(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(characters, whether each belongs to a word, text that each comes from) of plain texts, without what is left out."""
-    c = np.frombuffer("\n".join([*texts, ""]).encode("utf-32-le"), dtype=np.uint32)
-    owner = np.repeat(np.arange(len(texts)), [len(t) + 1 for t in texts])
-    kind = _kinds()[c]
-    for what in (2, 3):
-        out = np.flatnonzero(kind == what)
-        if what == 3 and len(out):
-            inner = (out > 0) & (out < len(c) - 1)
-            out = out[inner & (kind[out - 1] == 1) & (kind[np.minimum(out + 1, len(c) - 1)] == 1)]
-        if len(out):
-            c, owner, kind = np.delete(c, out), np.delete(owner, out), np.delete(kind, out)
-    return c, kind == 1, owner
-
-
-def _bounds(inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    edge = np.diff(inside.astype(np.int8), prepend=0, append=0)
-    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+#: Pairs of like windows that are followed up at once.
+SLICE_HITS = 1_000_000
 
-
-def words_of(text: str | None) -> list[str]:
-    """The words of a text, as they are compared and counted here: small letters, without markup, punctuation and line breaks.
-
-    Hyphens and apostrophes within a word vanish. A null text has no words.
-    """
-    c, inside, _ = _characters([_plain(text)])
-    whole = c.tobytes().decode("utf-32-le")
-    return [whole[i:j] for i, j in zip(*_bounds(inside))]
-
-
-def normal_words(text: Column) -> Column:
-    """``words_of`` as a column."""
-    return F.pandas_udf(lambda s: pd.Series([words_of(t) for t in s], index=s.index, dtype=object), "array<string>")(text)
-
-
-def _hashed(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """(64-bit hash, text it comes from) of each word of the texts, in order."""
-    c, inside, owner = _characters([_plain(t) for t in texts])
-    start, end = _bounds(inside)
-    if not len(start):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    size = end - start
-    first = np.concatenate([[0], np.cumsum(size)[:-1]])
-    powers = np.multiply.accumulate(np.full(int(size.max()), 0x9E3779B97F4A7C15, dtype=np.uint64))
-    place = np.arange(int(size.sum())) - np.repeat(first, size)
-    h = np.add.reduceat((c[inside].astype(np.uint64) + np.uint64(1)) * powers[place], first)
-    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
-    return h ^ (h >> np.uint64(29)), owner[start]
+_GONE = -(1 << 40)
 
 
 def _windows(words: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -132,7 +52,7 @@ class TestSet:
 
     @staticmethod
     def of(items: list[tuple], n: int, stretch: int) -> "TestSet":
-        words, owner = _hashed([p for _, p in items])
+        words, owner = hashed([p for _, p in items])
         cuts = np.searchsorted(owner, np.arange(len(items) + 1))
         same: dict[bytes, list] = {}
         for k, (i, _) in enumerate(items):
@@ -302,8 +222,8 @@ def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
 
         def run(batches, tests=tests):
             for b in batches:
-                for part in _slices(b):
-                    found = _stretches(tests.value, *_hashed(part["text"].to_pylist()), stretch, one_in)
+                for part in slices(b, "text"):
+                    found = _stretches(tests.value, *hashed(part["text"].to_pylist()), stretch, one_in)
                     wide = [(*r, i) for r in found.tolist() for i in tests.value.items[r[1]]]
                     ids = part["doc_id"].take(pa.array([r[0] for r in wide], pa.int64()))
                     numbers = [pa.array([r[c] for r in wide], pa.int32()) for c in range(2, 6)]
@@ -314,15 +234,6 @@ def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
     return out.distinct()
 
 
-def _slices(b: pa.RecordBatch):
-    """The batch in slices of about ``SLICE_CHARS``; a longer text is a slice of its own."""
-    sizes = np.cumsum([len(t) for t in b["text"].to_pylist()])
-    cuts = np.flatnonzero(np.diff(sizes // SLICE_CHARS, prepend=0)) if len(sizes) else []
-    for start, end in zip([0, *cuts], [*cuts, b.num_rows]):
-        if end > start:
-            yield b.slice(start, end - start)
-
-
 def short_items(items: DataFrame, item_id: str = "item_id", passage: str = "passage", stretch: int = STRETCH) -> DataFrame:
     """(item_id, words) of the items that no document can be found to leak, as their passage is null or has under ``stretch`` words."""
     return items.select(F.col(item_id).alias("item_id"), F.size(normal_words(F.col(passage))).alias("words")).filter(F.col("words") < stretch)

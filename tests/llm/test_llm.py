@@ -260,7 +260,7 @@ def test_blocks_of_passages_and_slices_of_texts_change_nothing(spark, monkeypatc
     monkeypatch.setattr(contamination, "BLOCK_CHARS", 300)
     assert sorted(map(tuple, leaks(df, items).collect())) == whole and len(whole) >= 120
     tests = contamination.TestSet.of(list(enumerate(passages)), 5, 14)
-    words, owner = contamination._hashed([r["text"] for r in df.collect()])
+    words, owner = contamination.hashed([r["text"] for r in df.collect()])
     at_once = contamination._stretches(tests, words, owner, 14, 8).tolist()
     monkeypatch.setattr(contamination, "SLICE_HITS", 50)
     assert contamination._stretches(tests, words, owner, 14, 8).tolist() == at_once
