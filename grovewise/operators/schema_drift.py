@@ -191,7 +191,7 @@ def consistent_table(files: DataFrame, rows: DataFrame, changes: DataFrame | Non
 
     Each row goes through its own file's migration (``migrations``), composed from the recorded ``changes``; where there is none, or for names that a file doesn't list,
     a field's column is that of the quantity its name is known for. Values are cast with null for what doesn't fit; a column that a record has no field for
-    gets its value in ``defaults``, else null, as the files themselves state none. Records that are no JSON objects give nulls; rows of files
+    gets its value in ``defaults``, else null, as the files themselves state none. Of a key that a record repeats the last value counts. Records that are no JSON objects give nulls; rows of files
     that aren't listed keep a null series. One pass over the rows; the file table and migrations are joined by source_id.
     """
     v = versions(files).select("source_id", "series_id", "version")
@@ -206,7 +206,8 @@ def consistent_table(files: DataFrame, rows: DataFrame, changes: DataFrame | Non
 
     unlisted = lambda key: F.try_element_at("routes", key).isNull()
     entry = lambda e, i: F.struct(unlisted(e["key"]).alias("unlisted"), alias_order(e["key"]).alias("order"), i.alias("i"), e["key"].alias("key"), target(e["key"]).alias("q"), e["value"].alias("v"))
-    table = table.withColumn("_e", F.array_sort(F.transform(F.map_entries("_m"), entry)))
+    once = F.filter(F.map_entries("_m"), lambda e, i: F.array_position(F.reverse(keys), e["key"]) == F.size(keys) - i)  # of a repeated key the last value counts
+    table = table.withColumn("_e", F.array_sort(F.transform(once, entry)))
     qs, stated = F.transform("_e", lambda e: e["q"]), defaults or {}
     cast = lambda c, kind: c.try_cast("double").try_cast(kind) if kind == "long" else c.try_cast(kind)
 

@@ -131,8 +131,8 @@ def _(spark, sf):
 
 @query("prj16_class_palette", "SELECT * FROM (VALUES (0, 0.6, 0.61, 0.63), (2, 0.78, 0.66, 0.45), (3, 0.62, 0.82, 0.25), (4, 0.2, 0.7, 0.25), (5, 0.55, 0.33, 0.16), (7, 0.9, 0.62, 0.0)) t(code, r, g, b)")
 def _(spark, sf):
-    got = colours.class_palette({0: "Never classified", 2: "Ground", 3: "Low vegetation", 4: "Leaves", 5: "Wood", 7: "Low point (noise)"})
-    return spark.createDataFrame([(k, *v) for k, v in sorted(got.items())], "code int, r double, g double, b double")
+    names = {0: "Never classified", 2: "Ground", 3: "Low vegetation", 4: "Leaves", 5: "Wood", 7: "Low point (noise)"}
+    return colours.class_palette(spark.createDataFrame(list(names.items()), "code int, name string"))
 
 
 @query("prj17_scalar_ramp", f"""SELECT point_id, round(stops[k + 1][1] * (1 - (t - k)) + stops[k + 2][1] * (t - k), 5) AS r, round(stops[k + 1][3] * (1 - (t - k)) + stops[k + 2][3] * (t - k), 5) AS b FROM

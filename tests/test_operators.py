@@ -396,6 +396,17 @@ def test_colours(spark):
     assert [round(v, 3) for v in flat] == list(colours.RAMP[5])
 
 
+def test_palette_of_classes(spark):
+    names = {1: " Trunk", 2: "Leaf-off", 3: "x", 4: None, 200: "Wall"} | {k: "x" for k in range(20, 33)}
+    df = spark.createDataFrame([*names.items(), (3, "x"), (None, "wood")], "code int, name string")
+    got = {r["code"]: (r["r"], r["g"], r["b"]) for r in colours.class_palette(df).collect()}
+    assert set(got) == set(names) and got[1] == (0.55, 0.33, 0.16) and got[2] == (0.2, 0.7, 0.25) and got[200] == (0.8, 0.3, 0.3)
+    others = [got[k] for k in sorted(set(names) - {1, 2, 200})]
+    assert others[:12] == colours.PALETTE and len(set(others)) == 15
+    assert colours.class_palette(df.limit(0)).count() == 0
+
+
+
 def test_classes():
     assert classes.class_bounds("ubyte") == (-(2**24), 2**24) and classes.class_bounds("uchar", packed=True) == (0, 31)
     assert classes.setup_problems([("1", "a"), ("2", "b")], 0, 31) == []

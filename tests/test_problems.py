@@ -194,6 +194,13 @@ def test_chains_without_a_known_name_reused_names_and_defaults(spark):
     assert got == {1: (1, {}), 2: (1, {}), 4: (None, {"p": "51"}), 5: (None, {"a": "51", "p": "1"}), 6: (None, {"p": "51"}), 7: (None, {"p": "51"})}
 
 
+def test_repeated_keys_of_a_record_count_once(spark):
+    f = _files(spark, [("x", "float"), ("foo", "float")])
+    r = spark.createDataFrame([(1, 1, '{"x": 1, "foo": 2, "zz": 5, "x": 3, "foo": 4, "zz": 6}')], "source_id int, row_no int, record string")
+    got = consistent_table(f, r).first()
+    assert got["x"] == 3.0 and got["others"] == {"foo": "4", "zz": "6"}
+
+
 def test_two_fields_of_one_quantity_lose_nothing(spark):
     f = _files(spark, [("label", "int"), ("treeID", "int"), ("cls", "int"), ("classification", "int")])
     r = spark.createDataFrame([(1, 1, '{"label": 5, "treeID": 7, "cls": 2, "classification": 3}'), (9, 1, '{"id": 4, "tree_id": 6}')], "source_id int, row_no int, record string")
