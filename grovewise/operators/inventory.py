@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from grovewise.plans.grid import cell_names, with_cells, with_cells_around
+from grovewise.plans.ranking import percentile_by_sort
 from grovewise.session import materialize
 
 
@@ -33,6 +34,14 @@ def _nearest_trees(stems: DataFrame, trees: DataFrame, reach: float) -> DataFram
     return hit.groupBy("cloud", "candidate", "stem_id", "sx", "sy").agg(F.min(F.struct("distance", "_t", "tx", "ty")).alias("b")).select("cloud", "candidate", "stem_id", "sx", "sy", "b.distance", "b.tx", "b.ty")
 
 
+def _closeness(close: DataFrame) -> DataFrame:
+    """(_cl, _ca, m, r): for each cloud and candidate how many stems have a tree, and their median distance, by a sort over all tasks."""
+    close = materialize(close.select(F.col("cloud").alias("_cl"), F.col("candidate").alias("_ca"), "distance"), "close")
+    middle = percentile_by_sort(close, ["_cl", "_ca"], "distance", 0.5, "r").select(F.col("_cl").alias("_mc"), F.col("_ca").alias("_ma"), "r")
+    many = close.groupBy("_cl", "_ca").agg(F.count("*").alias("m"))
+    return many.join(middle, F.col("_cl").eqNullSafe(F.col("_mc")) & (F.col("_ca") == F.col("_ma"))).select("_cl", "_ca", "m", "r")
+
+
 def fit_shifts(stems: DataFrame, trees: DataFrame, tolerance: float = 2.0, bin_size: float | None = None, tried: int = 5, reach: float | None = None) -> DataFrame:
     """(cloud, dx, dy, matched, residual): for each cloud the shift that brings most stems within ``tolerance`` of a tree.
 
@@ -66,7 +75,7 @@ def fit_shifts(stems: DataFrame, trees: DataFrame, tolerance: float = 2.0, bin_s
         step = close.groupBy(F.col("cloud").alias("_cl"), F.col("candidate").alias("_ca")).agg(F.avg(F.col("tx") - F.col("sx")).alias("ex"), F.avg(F.col("ty") - F.col("sy")).alias("ey"))
         shifts = shifts.join(step, shifts["cloud"].eqNullSafe(step["_cl"]) & (F.col("candidate") == F.col("_ca")), "left")
         shifts = materialize(shifts.select("cloud", "candidate", (F.col("dx") + F.coalesce("ex", F.lit(0.0))).alias("dx"), (F.col("dy") + F.coalesce("ey", F.lit(0.0))).alias("dy")), "shifts")
-    quality = _nearest_trees(moved(shifts), plain, tolerance).groupBy(F.col("cloud").alias("_cl"), F.col("candidate").alias("_ca")).agg(F.count("*").alias("m"), F.median("distance").alias("r"))
+    quality = _closeness(_nearest_trees(moved(shifts), plain, tolerance))
     scored = shifts.join(quality, shifts["cloud"].eqNullSafe(quality["_cl"]) & (F.col("candidate") == F.col("_ca")), "left").withColumn("m", F.coalesce("m", F.lit(0)))
     best = F.min_by(F.struct("dx", "dy", "m", "r"), F.struct(-F.col("m"), F.coalesce("r", F.lit(float("inf"))), "candidate"))
     return scored.groupBy("cloud").agg(best.alias("b")).select("cloud", "b.dx", "b.dy", F.col("b.m").alias("matched"), F.col("b.r").alias("residual"))
@@ -76,8 +85,8 @@ def alignment_quality(stems: DataFrame, trees: DataFrame, shifts: DataFrame, tol
     """``shifts`` (cloud, dx, dy) with matched and residual counted anew."""
     own = shifts.select(F.col("cloud").alias("_cl"), "dx", "dy")
     moved = stems.filter("x is not null and y is not null").join(own, F.col("cloud").eqNullSafe(F.col("_cl"))).select("cloud", F.lit(1).alias("candidate"), "stem_id", (F.col("x") + F.col("dx")).alias("sx"), (F.col("y") + F.col("dy")).alias("sy"))
-    got = _nearest_trees(moved, trees.filter("x is not null and y is not null"), tolerance).groupBy(F.col("cloud").alias("_cl")).agg(F.count("*").alias("matched"), F.median("distance").alias("residual"))
-    return shifts.select("cloud", "dx", "dy").join(got, F.col("cloud").eqNullSafe(F.col("_cl")), "left").select("cloud", "dx", "dy", F.coalesce("matched", F.lit(0)).alias("matched"), "residual")
+    got = _closeness(_nearest_trees(moved, trees.filter("x is not null and y is not null"), tolerance))
+    return shifts.select("cloud", "dx", "dy").join(got, F.col("cloud").eqNullSafe(F.col("_cl")), "left").select("cloud", "dx", "dy", F.coalesce("m", F.lit(0)).alias("matched"), F.col("r").alias("residual"))
 
 
 def scored(pairs: DataFrame, t: Tolerances = Tolerances()) -> DataFrame:
@@ -163,14 +172,28 @@ def scorecard(matches: DataFrame, truth: DataFrame, fitted: DataFrame) -> DataFr
     return fits.crossJoin(F.broadcast(right))
 
 
+def offsets(stems: DataFrame, trees: DataFrame, reach: float) -> DataFrame:
+    """All columns of ``stems``, tree_id, and the offset (ox, oy) from stem to tree, of pairs of one cloud at most ``reach`` apart along each axis; without positions there are none."""
+    placed = "x is not null and y is not null"
+    a = with_cells(stems.filter(placed), ["x", "y"], reach)
+    b = with_cells_around(trees.filter(placed).select(F.col("cloud").alias("_cl"), "tree_id", F.col("x").alias("_tx"), F.col("y").alias("_ty")), ["_tx", "_ty"], reach)
+    pairs = a.join(b, [a[c] == b[c] for c in cell_names(2)] + [a["cloud"].eqNullSafe(b["_cl"])])
+    pairs = pairs.select(*[a[c] for c in stems.columns], "tree_id", (F.col("_tx") - F.col("x")).alias("ox"), (F.col("_ty") - F.col("y")).alias("oy"))
+    return pairs.filter((F.abs("ox") <= reach) & (F.abs("oy") <= reach))
+
+
 def offset_histogram(stems: DataFrame, trees: DataFrame, size: float, reach: float) -> DataFrame:
     """(cloud, i, j, n, dx, dy): offsets of pairs at most ``reach`` apart along each axis, by bins rounded half to even."""
-    a, b = with_cells(stems.select("cloud", "x", "y").filter("x is not null and y is not null"), ["x", "y"], reach), with_cells_around(trees.select(F.col("cloud").alias("_cl"), F.col("x").alias("tx"), F.col("y").alias("ty")).filter("tx is not null and ty is not null"), ["tx", "ty"], reach)
-    pairs = a.join(b, [a[c] == b[c] for c in cell_names(2)] + [a["cloud"].eqNullSafe(b["_cl"])]).select("cloud", (F.col("tx") - F.col("x")).alias("ox"), (F.col("ty") - F.col("y")).alias("oy"))
-    pairs = pairs.filter((F.abs("ox") <= reach) & (F.abs("oy") <= reach))
+    pairs = offsets(stems.select("cloud", "x", "y"), trees, reach)
     return pairs.groupBy("cloud", F.rint(F.col("ox") / size).alias("i"), F.rint(F.col("oy") / size).alias("j")).agg(F.count("*").alias("n"), F.avg("ox").alias("dx"), F.avg("oy").alias("dy"))
 
 
+def left_over(trees: DataFrame, stems: DataFrame, matches: DataFrame) -> DataFrame:
+    """(kind, cloud, ident): the rest of the plot: trees without a match and stems that no tree is linked with. A null id is never matched."""
+    rest = lambda df, c, kind: df.join(matches.select("cloud", c), ["cloud", c], "left_anti").select(F.lit(kind).alias("kind"), "cloud", F.col(c).cast("string").alias("ident"))
+    return rest(trees, "tree_id", "tree").unionByName(rest(stems, "stem_id", "stem"))
+
+
 def inferred_scale(dbh: Column, threshold: float = 5.0) -> Column:
     """An aggregate: 0.01 if the median of the given, non-zero diameters lies above the threshold, else 1."""
     return F.when(F.median(F.when(dbh != 0, dbh)) > threshold, 0.01).otherwise(1.0)

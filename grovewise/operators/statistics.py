@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from grovewise.functions.labels import is_tree, next_free_id
+from grovewise.plans.bounded import broadcast_bounded
 
 AXES = ("x", "y", "z")
 
@@ -26,8 +27,9 @@ def tree_records(points: DataFrame, keys: Sequence[str] = ("tree_id",), label: s
 
 def updated_records(records: DataFrame, points: DataFrame, touched: DataFrame, key: str = "tree_id") -> DataFrame:
     """Records after an edit: those of touched labels computed anew, all others kept. Only the touched trees' points are read."""
-    anew = tree_records(points.join(F.broadcast(touched.select(key).distinct()), key, "left_semi"), [key], key)
-    return records.join(touched.select(key).distinct(), key, "left_anti").unionByName(anew)
+    touched = broadcast_bounded(touched.select(key).distinct())
+    anew = tree_records(points.join(touched, key, "left_semi"), [key], key)
+    return records.join(touched, key, "left_anti").unionByName(anew)
 
 
 def bounds(points: DataFrame) -> DataFrame:

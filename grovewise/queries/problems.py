@@ -9,7 +9,7 @@ from grovewise.operators.bad_rows import split_lines
 from grovewise.operators.heavy_keys import distinct_counts, join_counts
 from grovewise.operators.proximity import near, regions_of
 from grovewise.operators.records import latest
-from grovewise.operators.schema_drift import consistent_table, file_changes, schema_changes
+from grovewise.operators.schema_drift import QUANTITIES, TYPES, consistent_table, file_changes, schema_changes
 from grovewise.operators.units import stem_diameters, tile_diameters
 from grovewise.plans.bounded import broadcast_bounded
 
@@ -106,7 +106,54 @@ _LINES = rf"""(SELECT line_id, well, f, well AND len(f) = 5 AND regexp_matches(f
  FROM (SELECT line_id, regexp_replace(ltrim(raw_line, chr(65279)), '[\r\n]+$', '') AS s FROM stem_csv_lines) WHERE regexp_matches(s, '\S') AND NOT regexp_matches(s, '^\s*#'))
  WHERE NOT (well AND [lower(x) FOR x IN f] = ['tree_id', 'x', 'y', 'dbh_m', 'species']))"""
 
+
+
+def _map(table: dict[str, str]) -> str:
+    return "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in table.items()) + "}"
+
+
+_TYPE_NAMES, _QUANTITY_NAMES = _map(TYPES), _map({alias: q for q, names in QUANTITIES.items() for alias in names})
+
+
+def _plain(c: str) -> str:
+    return f"coalesce({_TYPE_NAMES}[lower({c})], lower({c}))"
+
+
+def _known(c: str) -> str:
+    return f"{_QUANTITY_NAMES}[lower({c})]"
+
+
+_BEFORE = "list(name) FILTER (kept) OVER (PARTITION BY source_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+#: Fields of each file and of the one before, candidates for renaming, their records side by side, and the changes (c).
+_CHANGES = f"""WITH once AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY received_at DESC NULLS LAST) AS rn FROM source_files WHERE source_id IS NOT NULL) WHERE rn = 1),
+ v AS (SELECT series_id, source_id, label_field, path, attributes, row_number() OVER (PARTITION BY series_id ORDER BY written_at NULLS FIRST, source_id) AS ver FROM once),
+ b AS (SELECT n.series_id, n.source_id, o.source_id AS before_id, n.label_field, o.label_field AS was_label, n.path, o.path AS was_path FROM v n JOIN v o ON n.series_id IS NOT DISTINCT FROM o.series_id AND n.ver = o.ver + 1),
+ a0 AS (SELECT source_id, unnest(attributes) AS a, generate_subscripts(attributes, 1) AS i FROM v),
+ a1 AS (SELECT source_id, a.name AS name, {_plain('a.type')} AS kind, i, row_number() OVER (PARTITION BY source_id, a.name ORDER BY i) AS k FROM a0 WHERE a.name IS NOT NULL),
+ f AS (SELECT source_id, name, kind, row_number() OVER (PARTITION BY source_id ORDER BY i) AS place FROM a1 WHERE k = 1),
+ nf AS (SELECT b.source_id, before_id, f.name, f.kind, f.place, o.kind AS was, o.name IS NOT NULL AS kept FROM b JOIN f ON f.source_id = b.source_id LEFT JOIN f o ON o.source_id = before_id AND o.name = f.name),
+ wf AS (SELECT b.source_id, f.name, f.kind, f.place, n.name IS NOT NULL AS kept FROM b JOIN f ON f.source_id = before_id LEFT JOIN f n ON n.source_id = b.source_id AND n.name = f.name),
+ na AS (SELECT *, coalesce(list_sort({_BEFORE}), []) AS after FROM nf), wa AS (SELECT *, coalesce(list_sort({_BEFORE}), []) AS after FROM wf),
+ p AS (SELECT n.source_id, n.before_id, n.name, n.kind, n.place, o.name AS old, o.kind AS was, o.place AS old_place, coalesce({_known('n.name')} = {_known('o.name')}, lower(n.name) = lower(o.name)) AS known,
+  {_known('n.name')} IS NULL OR {_known('o.name')} IS NULL AS strange FROM na n JOIN wa o ON o.source_id = n.source_id WHERE NOT n.kept AND NOT o.kept AND (n.place = o.place OR n.after = o.after)),
+ r AS (SELECT DISTINCT ON (source_id, row_no) source_id, row_no, record FROM source_rows WHERE json_valid(record)),
+ x AS (SELECT p.source_id, name, old, TRY_CAST(json_extract_string(r1.record, '$."' || name || '"') AS DOUBLE) AS v1, TRY_CAST(json_extract_string(r0.record, '$."' || old || '"') AS DOUBLE) AS v0
+  FROM p JOIN r r1 ON r1.source_id = p.source_id JOIN r r0 ON r0.source_id = p.before_id AND r0.row_no = r1.row_no),
+ s AS (SELECT source_id, name, old, count(*) AS tried, avg(CASE WHEN abs(v0 - v1) <= 0.0001::DOUBLE * greatest(1, abs(v0)) THEN 1 ELSE 0 END) AS share, count(DISTINCT v0) AS kinds FROM x WHERE v0 IS NOT NULL AND v1 IS NOT NULL GROUP BY ALL),
+ m AS (SELECT *, row_number() OVER (PARTITION BY source_id, name ORDER BY known DESC, place, old_place) AS ra, row_number() OVER (PARTITION BY source_id, old ORDER BY known DESC, place, old_place) AS rb FROM p LEFT JOIN s USING (source_id, name, old)
+  WHERE CASE WHEN tried >= 1 THEN share >= 0.6 AND (known OR (strange AND kinds >= 2) OR (share = 1 AND kinds >= 3)) ELSE known END),
+ ren AS (SELECT * FROM m WHERE ra = 1 AND rb = 1),
+ c AS (SELECT source_id, 'added' AS change_kind, name AS field, NULL AS was FROM nf WHERE NOT kept AND (source_id, name) NOT IN (SELECT source_id, name FROM ren)
+  UNION ALL SELECT source_id, 'removed', name, NULL FROM wf WHERE NOT kept AND (source_id, name) NOT IN (SELECT source_id, old FROM ren)
+  UNION ALL SELECT source_id, 'renamed', name, old FROM ren
+  UNION ALL SELECT source_id, 'retyped', name, was FROM ren WHERE kind IS DISTINCT FROM was
+  UNION ALL SELECT source_id, 'retyped', name, was FROM nf WHERE kept AND kind IS DISTINCT FROM was)"""
+
 SQL = {
+    "p6_found": f"{_CHANGES} SELECT DISTINCT source_id, change_kind, field FROM c",
+    "p6_changes": f"""{_CHANGES} SELECT series_id, c.source_id, before_id, change_kind, field, was FROM c JOIN b USING (source_id)
+ UNION ALL SELECT series_id, source_id, before_id, 'relabelled', label_field, was_label FROM b WHERE label_field IS DISTINCT FROM was_label
+ UNION ALL SELECT series_id, source_id, before_id, 'moved', path, was_path FROM b WHERE path IS DISTINCT FROM was_path""",
     "p7_found": f"SELECT line_id, CASE WHEN NOT well THEN 'broken_quoting' WHEN len(f) <> 5 THEN 'wrong_columns' ELSE 'invalid_value' END AS reason FROM {_LINES} WHERE NOT valid",
     "p7_rows": f"SELECT line_id, CAST(f[1] AS BIGINT) AS tree_id, CAST(f[2] AS DOUBLE) AS x, CAST(f[3] AS DOUBLE) AS y, TRY_CAST(f[4] AS DOUBLE) AS dbh_m, nullif(f[5], '') AS species FROM {_LINES} WHERE valid",
     "p3_found": f"""WITH s AS (SELECT DISTINCT stem_uid, x, y FROM stems WHERE x IS NOT NULL AND y IS NOT NULL),

@@ -98,7 +98,10 @@ def _(spark, sf):
     return voxels.first_of_cubes(table(spark, sf, "points"), 0.25, ["cloud_id"])
 
 
-@query("agg09_point_spacing")
+_NEAREST = f"(SELECT cloud_id, point_id, m.d AS d, m.o AS o FROM (SELECT a.cloud_id, a.point_id, min({{'d': {_dist('a', 'b')}, 'o': b.point_id}}) AS m FROM {G} a JOIN {G} b ON a.cloud_id = b.cloud_id AND a.point_id <> b.point_id GROUP BY ALL))"
+
+
+@query("agg09_point_spacing", f"SELECT cloud_id, round(CASE WHEN coalesce(m, 0) = 0 THEN 0.01::DOUBLE ELSE m END, 4) AS spacing FROM (SELECT DISTINCT cloud_id FROM {G}) LEFT JOIN (SELECT cloud_id, quantile_cont(d, 0.5) AS m FROM {_NEAREST} GROUP BY cloud_id) USING (cloud_id)")
 def _(spark, sf):
     return rounded(voxels.spacing(given_points(spark, sf).select("cloud_id", "point_id", "x", "y", "z"), 0.4, ["cloud_id"]))
 
@@ -259,18 +262,21 @@ def _(spark, sf):
     return neighbours.pairs_within(given_points(spark, sf), 0.1, ["cloud_id"]).withColumn("distance", F.round("distance", 6))
 
 
-@query("jn04_nearest_other")
+@query("jn04_nearest_other", f"SELECT point_id, o AS other_id, round(d, 6) AS distance FROM {_NEAREST}")
 def _(spark, sf):
     near = voxels.nearest_distances(given_points(spark, sf), 0.4, ["cloud_id"])
     return near.withColumn("distance", F.round("distance", 6))
 
 
-@query("jn05_same_class_nearest", f"""SELECT point_id, kept_id, round(d, 6) AS distance FROM (SELECT a.point_id, b.point_id AS kept_id, {_dist('a', 'b')} AS d, row_number() OVER (PARTITION BY a.point_id ORDER BY {_dist('a', 'b')}, b.point_id) AS rn
- FROM {_near_sql(0.2, 'a.tree_id = b.tree_id AND a.cloud_id = b.cloud_id', left=f'(SELECT * FROM {G} WHERE point_id % 2 = 1)', right=f'(SELECT * FROM {G} WHERE point_id % 2 = 0)')} WHERE {_dist('a', 'b')} < 0.2) WHERE rn = 1""")
+_KEPT = f"(SELECT * FROM {G} WHERE point_id IN (SELECT point_id FROM (SELECT point_id, row_number() OVER (PARTITION BY cloud_id, i, j, k ORDER BY off, point_id) AS rn FROM {_VOX}) WHERE rn = 1))"
+
+
+@query("jn05_nearest_kept", f"""SELECT point_id, kept_id, round(d, 6) AS distance FROM (SELECT a.point_id, b.point_id AS kept_id, {_dist('a', 'b')} AS d, row_number() OVER (PARTITION BY a.point_id ORDER BY {_dist('a', 'b')}, b.point_id) AS rn
+ FROM {_near_sql(1.0, 'a.tree_id = b.tree_id AND a.cloud_id = b.cloud_id', right=_KEPT)} WHERE {_dist('a', 'b')} < 1.0) WHERE rn = 1""")
 def _(spark, sf):
     g = given_points(spark, sf).select("cloud_id", "tree_id", "point_id", "x", "y", "z")
-    kept = g.filter("point_id % 2 = 0").withColumnRenamed("point_id", "kept_id")
-    got = neighbours.nearest(g.filter("point_id % 2 = 1"), kept, 0.2, "point_id", "kept_id", ["cloud_id", "tree_id"], most=0.2)
+    kept = g.join(voxels.thinned(g, 0.5, ["cloud_id"]).select("point_id"), "point_id", "left_semi").withColumnRenamed("point_id", "kept_id")
+    got = neighbours.nearest(g, kept, 1.0, "point_id", "kept_id", ["cloud_id", "tree_id"], most=1.0)
     return got.select("point_id", "kept_id", F.round("distance", 6).alias("distance"))
 
 
@@ -321,9 +327,18 @@ def _(spark, sf):
     return inventory.linked_matches(links, _trees(spark, sf), _stems(spark, sf)).select("tree_id", F.col("ordinal").alias("stem_uid"), F.round("distance", 4).alias("distance"))
 
 
-@query("jn14_rest_of_plot", "SELECT DISTINCT tree_id FROM tree_stats WHERE tree_id NOT IN (SELECT tree_id FROM tree_records)")
+@query("jn09_stem_tree_offsets", f"SELECT s.stem_uid, t.tree_id, round(t.x - s.x, 4) AS ox, round(t.y - s.y, 4) AS oy FROM {_STEMS} s JOIN {_TREES} t USING (cloud_id) WHERE abs(t.x - s.x) <= 8 AND abs(t.y - s.y) <= 8")
 def _(spark, sf):
-    return table(spark, sf, "tree_stats").select("tree_id").distinct().join(table(spark, sf, "tree_records").select("tree_id"), "tree_id", "left_anti")
+    return inventory.offsets(_stems(spark, sf), _trees(spark, sf), 8.0).select(F.col("ordinal").alias("stem_uid"), "tree_id", F.round("ox", 4).alias("ox"), F.round("oy", 4).alias("oy"))
+
+
+@query("jn14_left_over", f"""WITH l AS (SELECT t.cloud_id, t.tree_id, s.stem_uid FROM {_TREES} t JOIN {_STEMS} s ON s.stem_uid = t.tree_id % 500 AND s.cloud_id = t.cloud_id WHERE s.x IS NOT NULL AND s.y IS NOT NULL AND t.x IS NOT NULL AND t.y IS NOT NULL)
+ SELECT 'tree' AS kind, cloud_id AS cloud, CAST(tree_id AS VARCHAR) AS ident FROM {_TREES} t WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.tree_id = t.tree_id AND l.cloud_id = t.cloud_id)
+ UNION ALL SELECT 'stem', cloud_id, CAST(stem_uid AS VARCHAR) FROM {_STEMS} s WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.stem_uid = s.stem_uid AND l.cloud_id = s.cloud_id)""")
+def _(spark, sf):
+    trees, stems = _trees(spark, sf), _stems(spark, sf)
+    links = trees.select("cloud", "tree_id", (F.col("tree_id") % 500).cast("string").alias("stem_id"))
+    return inventory.left_over(trees, stems, inventory.linked_matches(links, trees, stems))
 
 
 @query("jn15_measured_tree", f"SELECT cloud_id, tree_id, round(coalesce(s.height, hi_z - lo_z), 4) AS height FROM {_IN_FORCE} r LEFT JOIN (SELECT DISTINCT tree_id, cloud_id, height FROM tree_stats) s USING (cloud_id, tree_id)")
@@ -524,7 +539,9 @@ def _(spark, sf):
 _EPS = 0.25
 
 
-@query("grf01_components")
+@query("grf01_components", f"""WITH RECURSIVE e AS MATERIALIZED (SELECT a.point_id AS u, b.point_id AS v FROM {_near_sql(_EPS, 'a.cloud_id = b.cloud_id AND a.tree_id = b.tree_id AND a.tree_id > 0 AND a.point_id <> b.point_id')} WHERE {_dist('a', 'b')} <= {_EPS}),
+ c(id, least) USING KEY (id) AS (SELECT point_id, point_id FROM {G} WHERE tree_id > 0 UNION SELECT e.v, min(c.least) FROM c JOIN e ON e.u = c.id JOIN recurring.c AS r ON r.id = e.v WHERE c.least < r.least GROUP BY e.v)
+ SELECT cloud_id, tree_id, point_id, least AS component FROM c JOIN {G} ON point_id = id""")
 def _(spark, sf):
     g = given_points(spark, sf).filter("tree_id > 0").select("cloud_id", "tree_id", "point_id", "x", "y", "z")
     return components.components_of(g, _EPS, ("cloud_id", "tree_id"))
@@ -593,16 +610,18 @@ def _(spark, sf):
     return statistics.updated_records(stale, p, touched).withColumn("centre_x", F.round("centre_x", 4)).withColumn("centre_y", F.round("centre_y", 4))
 
 
-_EVENT_LOG = "SELECT event_id AS seq, point_id, CASE event_id % 3 WHEN 0 THEN 0 WHEN 1 THEN -1 ELSE user_id END AS new FROM events JOIN (SELECT DISTINCT point_id FROM points) ON point_id = 1 + event_id % 500"
+#: Edits made from the events, spread over all points.
+_EVENT_LOG = "SELECT event_id AS seq, point_id, CASE event_id % 3 WHEN 0 THEN 0 WHEN 1 THEN -1 ELSE user_id END AS new FROM events JOIN (SELECT DISTINCT point_id FROM points) ON point_id = 1 + event_id * 611953 % (SELECT max(point_id) FROM points)"
 
 
 def _log(spark, sf):
     e = F.col("event_id")
     new = F.when(e % 3 == 0, 0).when(e % 3 == 1, -1).otherwise(F.col("user_id"))
-    return table(spark, sf, "events").select(e.cast("long").alias("seq"), F.lit("tree_id").alias("target"), (1 + e % 500).cast("long").alias("point_id"), F.lit(None).cast("int").alias("old"), new.cast("int").alias("new"))
+    last = table(spark, sf, "points").agg(F.max("point_id")).first()[0] or 1
+    return table(spark, sf, "events").select(e.cast("long").alias("seq"), F.lit("tree_id").alias("target"), (1 + e.cast("long") * 611953 % last).alias("point_id"), F.lit(None).cast("int").alias("old"), new.cast("int").alias("new"))
 
 
-@query("dml01_edit_log", f"SELECT point_id, CAST(coalesce(n.new, tree_id) AS INTEGER) AS tree_id FROM {P} LEFT JOIN (SELECT point_id, arg_max(new, seq) AS new FROM ({_EVENT_LOG}) GROUP BY point_id) n USING (point_id)")
+@query("dml01_edits_applied", f"SELECT point_id, CAST(coalesce(n.new, tree_id) AS INTEGER) AS tree_id FROM {P} LEFT JOIN (SELECT point_id, arg_max(new, seq) AS new FROM ({_EVENT_LOG}) GROUP BY point_id) n USING (point_id)")
 def _(spark, sf):
     return edits.applied(points(spark, sf).select("point_id", "tree_id"), _log(spark, sf))
 
