@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from grovewise.operators.proximity import plan_quadtree
 from grovewise.plans.quadtree import Quadtree
-from grovewise.session import materialize
+from grovewise.session import discard, materialize
 
 AXES = ("x", "y", "z")
 # Gaps offered, in spacings; and cells for each gap along an axis where points are taken together.
@@ -81,7 +81,8 @@ def label_components(edges: DataFrame, a: str = "a_id", b: str = "b_id") -> Data
         # Small star: an id and its smaller neighbours are tied to the least of those.
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
-        now = materialize(small, "edges")
+        before, now = now, materialize(small, "edges")
+        discard(before)
         check = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if check == sums:
             return _named(now)

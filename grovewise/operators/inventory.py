@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from grovewise.plans.grid import cell_names, with_cells, with_cells_around
 from grovewise.plans.ranking import percentile_by_sort
-from grovewise.session import materialize
+from grovewise.session import discard, materialize
 
 
 @dataclass(frozen=True)
@@ -124,14 +124,15 @@ def greedy_matches(pairs: DataFrame, t: Tolerances = Tolerances()) -> DataFrame:
     By rounds of pairs that are best for both sides, which gives the same as going through the sorted pairs one by one.
     """
     left = materialize(pairs.filter(F.col("score") <= t.max_score).withColumn("_o", F.struct("score", "tree_id", "ordinal", "cloud")), "pairs")
-    taken = left.limit(0)
+    taken = None
     while not left.isEmpty():
         by_tree = left.groupBy("cloud", "tree_id").agg(F.min("_o").alias("_o"))
         by_stem = left.groupBy("cloud", "stem_id").agg(F.min("_o").alias("_o"))
         both = materialize(left.join(by_tree, ["cloud", "tree_id", "_o"], "left_semi").join(by_stem, ["cloud", "stem_id", "_o"], "left_semi"), "both")
-        taken = taken.unionByName(both)
-        left = materialize(left.join(both.select("cloud", "tree_id"), ["cloud", "tree_id"], "left_anti").join(both.select("cloud", "stem_id"), ["cloud", "stem_id"], "left_anti"), "pairs")
-    return taken.drop("_o")
+        taken = both if taken is None else taken.unionByName(both)
+        before, left = left, materialize(left.join(both.select("cloud", "tree_id"), ["cloud", "tree_id"], "left_anti").join(both.select("cloud", "stem_id"), ["cloud", "stem_id"], "left_anti"), "pairs")
+        discard(before)
+    return (left if taken is None else taken).drop("_o")
 
 
 def linked_matches(links: DataFrame, trees: DataFrame, stems: DataFrame, t: Tolerances = Tolerances()) -> DataFrame:

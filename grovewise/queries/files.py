@@ -14,7 +14,7 @@ from grovewise.functions.labels import label_column
 from grovewise.functions.texts import stem_columns
 from grovewise.operators import merging
 from grovewise.queries.registry import G, P, Queries, given_points, points, table
-from grovewise.session import shared_folder
+from grovewise.session import mounted_folder
 from grovewise.sources import las, ply, tables
 
 query = Queries()
@@ -24,7 +24,7 @@ _TRIP = f"SELECT row_number() OVER (ORDER BY point_id) - 1 AS point_id, x, y, z,
 
 
 def _folder(spark) -> str:
-    return tempfile.mkdtemp(prefix="files-", dir=_made(shared_folder(spark).removeprefix("file://")))
+    return tempfile.mkdtemp(prefix="files-", dir=_made(mounted_folder(spark)))
 
 
 def _made(path: str) -> str:

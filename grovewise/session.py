@@ -43,6 +43,15 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def mounted_folder(spark: SparkSession) -> str:
+    """The shared folder as a path of the file system, for files in formats that Spark doesn't write; it must be mounted on all executors."""
+    folder = shared_folder(spark).rstrip("/")
+    plain = folder.removeprefix("file://")
+    if "://" in plain or plain.startswith(("hdfs:", "s3a:", "s3:", "gs:", "abfs")):
+        raise RuntimeError(f"point files are written through a mounted folder; spark.checkpoint.dir is {folder}")
+    return plain.removeprefix("file:")
+
+
 def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: a lineage cut that outlives executors.
 
@@ -50,7 +59,17 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     """
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(df: DataFrame | None) -> None:
+    """Delete a materialized table that nothing reads any more, as the last round's of a loop; other DataFrames are left alone."""
+    if path := getattr(df, "_written_to", None):
+        jvm = df.sparkSession._jvm
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def partitions_of(spark: SparkSession) -> int:

@@ -18,7 +18,7 @@ from pyspark.sql.types import StructType
 
 from grovewise.constants import UNASSIGNED
 from grovewise.functions.labels import LABEL_NAMES, label_column
-from grovewise.session import shared_folder
+from grovewise.session import mounted_folder
 
 # PLY's scalar types as NumPy's and Spark's (unsigned ones widened).
 NUMPY = {"char": "i1", "uchar": "u1", "short": "i2", "ushort": "u2", "int": "i4", "uint": "u4", "float": "f4", "double": "f8", "int8": "i1", "uint8": "u1", "int16": "i2", "uint16": "u2", "int32": "i4", "uint32": "u4", "float32": "f4", "float64": "f8"}
@@ -188,7 +188,7 @@ def write_parts(df: DataFrame, dtype: np.dtype, keys: list[str] = ()) -> list[tu
 
     Records are streamed batch by batch; a key's rows may come in several parts. A task that runs again writes under a new name, and only what the job returns is used.
     """
-    folder = shared_folder(df.sparkSession).removeprefix("file://").rstrip("/") + f"/parts-{uuid.uuid4().hex}"
+    folder = mounted_folder(df.sparkSession) + f"/parts-{uuid.uuid4().hex}"
     os.makedirs(folder, exist_ok=True)
     names, keys = list(dtype.names), list(keys)
     kinds = dict(df.dtypes)
