@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from grovewise.plans.bounded import broadcast_bounded
-from grovewise.session import materialize
+from grovewise.session import discard, materialize
 
 
 @dataclass(frozen=True)
@@ -129,13 +129,15 @@ def scored_pairs(a: DataFrame, b: DataFrame, s: LinkSettings = LinkSettings()) -
     b = b.join(broadcast_bounded(materialize(shifts, "shifts")), "cloud", "left")
     b = b.withColumn("b_x", F.col("b_x") - F.coalesce("dx", F.lit(0.0))).withColumn("b_y", F.col("b_y") - F.coalesce("dy", F.lit(0.0))).drop("dx", "dy")
     b = materialize(b, "aligned")
-    pairs = candidate_pairs(a, b, s).join(a, "a_id").join(b.drop("cloud"), "b_id")
+    # A pair without a position could be with any tree of its cloud.
+    chance = a.groupBy("cloud").agg(F.log(F.count("*").cast("double")).alias("_trees"))
+    pairs = candidate_pairs(a, b, s).join(a, "a_id").join(b.drop("cloud"), "b_id").join(broadcast_bounded(chance), "cloud")
     apart = F.hypot(F.col("a_x") - F.col("b_x"), F.col("a_y") - F.col("b_y"))
-    pairs = pairs.select("a_id", "b_id", apart.alias("apart"), _log_ratio(s).alias("_r"), F.abs(F.col("a_height") - F.col("b_height")).alias("_h"))
+    pairs = pairs.select("a_id", "b_id", "_trees", apart.alias("apart"), _log_ratio(s).alias("_r"), F.abs(F.col("a_height") - F.col("b_height")).alias("_h"))
     # How far a pair is from perfect within its level, for ties only.
     blur = F.coalesce(F.col("apart") / 0.4, F.lit(3.0)) ** 2 + F.coalesce(F.col("_r") / 0.1, F.lit(1.0)) ** 2 + F.coalesce(F.col("_h") / 1.0, F.lit(1.0)) ** 2
     levels = [_level(F.col("apart"), s.distance).alias("l0"), _level(F.col("_r"), s.dbh).alias("l1"), _level(F.col("_h"), s.height).alias("l2")]
-    pairs = materialize(pairs.select("a_id", "b_id", "apart", blur.alias("blur"), *levels), "pairs")
+    pairs = materialize(pairs.select("a_id", "b_id", "apart", "_trees", blur.alias("blur"), *levels), "pairs")
     # Only the first pass takes pairs whatever their sizes, so only it tells how sizes differ by chance.
     near = pairs.filter(F.col("l0").between(0, len(s.distance) - 1))
     patterns = [((r["l0"], r["l1"], r["l2"]), r["count"]) for r in near.groupBy("l0", "l1", "l2").count().collect()]
@@ -144,9 +146,7 @@ def scored_pairs(a: DataFrame, b: DataFrame, s: LinkSettings = LinkSettings()) -
     # Beyond the first pass chance pairs grow with the area, and matches are taken as half as likely as in its last ring.
     ring = (s.far**2 - s.near**2) / (s.near**2 - s.distance[-2] ** 2)
     tables[0] = np.append(tables[0], min(tables[0][-1], 0.0) - np.log(2 * ring))
-    trees = a.groupBy("cloud").agg(F.count("*").alias("n")).agg(F.avg("n")).first()[0] or 1.0
-    # A pair without a position could be with any tree of its cloud.
-    weight = F.when(F.col("l0") < 0, float(-np.log(trees))).otherwise(float(np.log(p / (1 - p))))
+    weight = F.when(F.col("l0") < 0, -F.col("_trees")).otherwise(float(np.log(p / (1 - p))))
     for k in range(3):
         weight = weight + F.when(F.col(f"l{k}") >= 0, F.get(F.array(*[F.lit(float(x)) for x in tables[k]]), F.col(f"l{k}"))).otherwise(0.0)
     return pairs.withColumn("weight", weight).withColumn("confidence", 1 / (1 + F.exp(-F.col("weight")))).select("a_id", "b_id", "confidence", "weight", "apart", "blur")
@@ -167,7 +167,8 @@ def one_to_one(pairs: DataFrame, order: list[Column], a: str = "a_id", b: str =
         both = left.join(best_a, [a, "_o"], "left_semi").join(best_b, [b, "_o"], "left_semi")
         both = materialize(both, "taken")
         taken = both if taken is None else taken.unionByName(both)
-        left = materialize(left.join(both.select(a), a, "left_anti").join(both.select(b), b, "left_anti"), "left")
+        before, left = left, materialize(left.join(both.select(a), a, "left_anti").join(both.select(b), b, "left_anti"), "left")
+        discard(before)
     return (taken if taken is not None else left).drop("_o")
 
 
