@@ -20,12 +20,17 @@ def _trim(c: Column) -> Column:
     return F.regexp_replace(c, r"^[\s﻿]+|[\s﻿]+$", "")
 
 
-def fields_of(line: Column) -> Column:
-    """The fields of a line whose quoting holds, quotes removed, doubled quotes single, trimmed."""
+def whole_fields_of(line: Column) -> Column:
+    """The fields of a line whose quoting holds, quotes removed, doubled quotes single."""
     # With a comma before the first field too, every match takes a character, so that an empty first field isn't passed over.
     parts = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(rf",\s*+({_FIELD})\s*+"), 1)
     plain = lambda f: F.when(f.startswith('"'), F.replace(F.substr(f, F.lit(2), F.length(f) - 2), F.lit('""'), F.lit('"'))).otherwise(f)
-    return F.transform(parts, lambda f: _trim(plain(f)))
+    return F.transform(parts, plain)
+
+
+def fields_of(line: Column) -> Column:
+    """The same fields, trimmed."""
+    return F.transform(whole_fields_of(line), _trim)
 
 
 def opens_well(line: Column, n: int) -> Column:

@@ -2,6 +2,7 @@
 
 import math
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
@@ -256,3 +257,22 @@ def test_lines_with_coordinates_may_hold_quotes(spark):
     lines = ['7,1,2,0.2,oak\r', '"7","1.5"," -2e1 ","0","a, b"', '7,1,2,0.2,"oak, ""old"""', '7,1,2,0.2,"oak', '7,1,2,0.2,oak 12" girth', '"7,1,2,0.2,oak', '7,"1,2",3', '7,1,"2', '7,,2,0.2,"oak"', '7,nan,2,,', "7,1", None]
     df = spark.createDataFrame(list(enumerate(lines)), "line_id int, raw_line string")
     assert {r["line_id"]: (r["x"], r["y"]) for r in usable_rows(df).collect()} == {0: (1.0, 2.0), 1: (1.5, -20.0), 2: (1.0, 2.0), 3: (1.0, 2.0), 4: (1.0, 2.0)}
+
+
+def test_coordinates_are_decimal_numbers_as_in_the_sql(spark, tmp_path):
+    from grovewise.queries.expressions import SQL, usable_rows
+
+    taken = ["1", "+1.", ".5", "1e5", "-2E-01", "1_000", "1_0.2_5e0_1", "\xa01", "1\u2003", "\t1\r", "1e-400", "9007199254740993", "0" * 400 + "1", "1" + "_1" * 9]
+    left = ["1d", "2.5F", "0x1p3", "1__0", "1_", "_1", "1e", ".", "", "1e999", "inf", "nan", "\x001", "1\x08", "1\x1f", "1\x85", "1\u2028", "\ufeff1", "1\ufeff", "\uff11", "\u22121", "1 0", "9" * 100_000, "_".join("1" * 100_000), '1""2']
+    lines = [f"7,{v},2,0.2,oak" for v in taken + left] + [f"7,2,{v}" for v in taken + left]
+    n = len(taken + left)
+    want = {k for i in range(len(taken)) for k in (i, i + n)}
+    df = spark.createDataFrame(list(enumerate(lines)), "line_id long, raw_line string")
+    got = {r["line_id"]: (r["x"], r["y"]) for r in usable_rows(df).collect()}
+    assert set(got) == want and got[5] == (1000.0, 2.0) and got[5 + n] == (2.0, 1000.0)
+    df.coalesce(1).write.parquet(f"{tmp_path}/lines")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW stem_csv_lines AS SELECT * FROM '{tmp_path}/lines/*.parquet'")
+    assert {r[0]: r[1:] for r in con.execute(SQL["flt18_usable_rows"]).fetchall()} == got
+    quoted = spark.createDataFrame([(i, f'"7","{v}","2","0.2","o""k"') for i, v in enumerate(taken + left[:-1])] + [(n, '"7,' + '""' * 100_000 + '",1_0, "2" ')], "line_id long, raw_line string")
+    assert {r["line_id"]: r["x"] for r in usable_rows(quoted).collect()} == {i: got[i][0] for i in range(len(taken))} | {n: 10.0}
